@@ -1,4 +1,5 @@
 """All registered queries (importing the modules fills the registry)."""
 
 from riskloom.plans import queries_core  # noqa: F401
+from riskloom.plans import queries_sources  # noqa: F401
 from riskloom.plans.registry import REGISTRY  # noqa: F401

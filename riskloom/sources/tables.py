@@ -155,3 +155,41 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix a DuckDB query with the fixture views it uses as CTEs."""
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)
     return f"WITH {ctes}\n{sql}"
+
+
+def catalog_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later catalogue batch: revised rows for large parts, including ids absent before."""
+    p = table(spark, sf_dir, "part").where(F.col("p_size") > 25)
+    base = p.select(
+        F.col("p_partkey").cast("int").alias("threat_id"),
+        F.concat(F.col("p_name"), F.lit(" (rev)")).alias("name"),
+        F.repeat(F.concat_ws(" ", "p_name", "p_brand", F.lit("")), 3).alias("description"),
+        F.concat(F.repeat(F.concat(F.col("p_type"), F.lit(" ")), 2), F.col("p_name"), F.lit(" "),
+                 F.col("p_brand")).alias("threat_source"),
+        F.col("p_type").alias("target_object"),
+        ((F.col("p_size").bitwiseAND(1)) != 0).alias("confidentiality_breach"),
+        ((F.col("p_size").bitwiseAND(2)) != 0).alias("integrity_breach"),
+        ((F.col("p_size").bitwiseAND(4)) != 0).alias("availability_breach"),
+        F.date_add(F.lit("2019-01-01").cast("date"), F.col("p_size")).alias("date_added"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).alias("last_modified"),
+        F.concat(F.lit("rev "), F.col("p_brand")).alias("status"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+    return base
+
+
+SQL_CATALOG_REVISION = """
+SELECT CAST(p_partkey AS INT) AS threat_id, p_name || ' (rev)' AS name,
+       repeat(p_name || ' ' || p_brand || ' ', 3) AS description,
+       repeat(p_type || ' ', 2) || p_name || ' ' || p_brand AS threat_source,
+       p_type AS target_object,
+       (p_size & 1) <> 0 AS confidentiality_breach,
+       (p_size & 2) <> 0 AS integrity_breach,
+       (p_size & 4) <> 0 AS availability_breach,
+       CAST(DATE '2019-01-01' + CAST(p_size AS INT) AS DATE) AS date_added,
+       CAST(DATE '2024-01-01' + CAST(p_size AS INT) AS DATE) AS last_modified,
+       'rev ' || p_brand AS status,
+       CAST(NULL AS VARCHAR) AS notes
+FROM part WHERE p_size > 25
+"""
+SQL_VIEWS["catalog_revision"] = SQL_CATALOG_REVISION
