@@ -90,3 +90,12 @@ INCIDENT_SHEET_HEADERS = {
     "Дата инцидента": "incident_date",
     "Региональное время": "incident_time",
 }
+
+# --- fixed values: recommendation lines of the report (format strings) ---
+REC_TIME = "1. Временная защита: усилить мониторинг в {hour}:00, по {dow}-му дню недели и в {month}-м месяце."
+REC_INDUSTRY = "2. Отраслевая защита: особое внимание уделить отраслям {items}."
+REC_REGION = "3. Региональная защита: повышенный контроль в регионах {items}."
+REC_THREAT = "4. По угрозам: сконцентрироваться на предотвращении следующих типов атак: {items}."
+REC_CLUSTER = "5. Кластеры высокого риска: {items}"
+REC_FACTORS = "6. Ключевые факторы успешной атаки: {items}"
+REC_ARCH = "7. Архитектура безопасности: внедрить систему раннего предупреждения на основе улучшенной модели."

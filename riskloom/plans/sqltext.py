@@ -42,7 +42,7 @@ feat AS (
 
 
 def q(body: str, src: str = "incidents_li", cal: bool = True, feat: bool = False,
-      views: tuple[str, ...] = ()) -> str:
+      views: tuple[str, ...] = (), ctes: tuple[str, ...] = ()) -> str:
     """Compose ``WITH <views>, cal, [named, feat] <body>`` for DuckDB."""
     names = [src] if src else []
     if feat and "threats" not in names:
@@ -50,9 +50,10 @@ def q(body: str, src: str = "incidents_li", cal: bool = True, feat: bool = False
     for v in views:
         if v not in names:
             names.append(v)
-    ctes = [f"{n} AS ({SQL_VIEWS[n]})" for n in names]
+    out = [f"{n} AS ({SQL_VIEWS[n]})" for n in names]
     if cal or feat:
-        ctes.append(cal_cte(src))
+        out.append(cal_cte(src))
     if feat:
-        ctes.append(FEAT_CTE)
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        out.append(FEAT_CTE)
+    out.extend(ctes)
+    return "WITH " + ",\n".join(out) + "\n" + body

@@ -35,6 +35,9 @@ def build_session(master: str | None = None, app: str = "riskloom",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs everything in the driver JVM.
+        conf["spark.driver.memory"] = os.environ.get("RISKLOOM_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -67,3 +70,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def checkpoint_spread(df):
+    """Reliable checkpoint; if the result has fewer partitions than the cluster's
+    default parallelism (small inputs coalesced by adaptive execution), spread it
+    round-robin and checkpoint again so iterative fits use every core.  At scale
+    the first checkpoint already has many partitions and nothing extra happens."""
+    out = df.checkpoint(eager=True)
+    par = out.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < par:
+        out = out.repartition(par).checkpoint(eager=True)
+    return out
