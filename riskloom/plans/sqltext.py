@@ -42,7 +42,7 @@ feat AS (
 
 
 def q(body: str, src: str = "incidents_li", cal: bool = True, feat: bool = False,
-      views: tuple[str, ...] = (), ctes: tuple[str, ...] = ()) -> str:
+      views: tuple[str, ...] = (), ctes: tuple[str, ...] = (), recursive: bool = False) -> str:
     """Compose ``WITH <views>, cal, [named, feat] <body>`` for DuckDB."""
     names = [src] if src else []
     if feat and "threats" not in names:
@@ -56,4 +56,4 @@ def q(body: str, src: str = "incidents_li", cal: bool = True, feat: bool = False
     if feat:
         out.append(FEAT_CTE)
     out.extend(ctes)
-    return "WITH " + ",\n".join(out) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(out) + "\n" + body

@@ -31,10 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def incidents_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+def incidents_from_events(e: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Incident projection of an event frame (batch or stream; customer and nation are static)."""
+    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = nation.select("n_nationkey", "n_name")
     joined = (e.join(c, e.user_id == c.c_custkey)
               .join(F.broadcast(n), c.c_nationkey == n.n_nationkey))
     return joined.select(
@@ -50,6 +50,11 @@ def incidents_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def incidents_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return incidents_from_events(e, table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+
+
 def incidents_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
