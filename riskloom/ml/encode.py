@@ -17,26 +17,28 @@ from riskloom.functions.text import as_text
 from riskloom.operators.joins import bounded_broadcast
 
 
-def dense_index(values: DataFrame, col: str, index_col: str = "code", partitions: int | None = None) -> DataFrame:
-    """Assign 0-based codes to the distinct ``col`` values in ascending order.
+def dense_index(values: DataFrame, col: str, index_col: str = "code", partitions: int | None = None,
+                group: str | None = None) -> DataFrame:
+    """Assign 0-based codes to the distinct ``col`` values in ascending order (per ``group`` if given).
 
     The range-partitioned values are checkpointed (reliably, to the shared
     checkpoint folder) so the partition ids that the offsets refer to cannot
     change if a task is re-run after an executor loss.
     """
     spark = values.sparkSession
-    distinct = values.select(col).distinct()
+    keys = [group, col] if group else [col]
+    gcols = [group] if group else []
+    distinct = values.select(*keys).distinct()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = (distinct.repartitionByRange(n, col)
+    parted = (distinct.repartitionByRange(n, *keys)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    sizes = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    ranked = parted.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
-    return (ranked.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")   # ≤ n rows
-            .select(col, (F.col("_off") + F.col("_rn") - 1).cast("int").alias(index_col)))
+    sizes = parted.groupBy("_pid", *gcols).agg(F.count(F.lit(1)).alias("_n"))     # ≤ n × groups rows
+    before = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = parted.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(col)))
+    return (ranked.join(F.broadcast(offsets.select("_pid", *gcols, "_off")), ["_pid", *gcols])
+            .select(*keys, (F.col("_off") + F.col("_rn") - 1).cast("int").alias(index_col)))
 
 
 def vocabulary(df: DataFrame, col: str) -> DataFrame:                     # M01 fit
@@ -44,6 +46,12 @@ def vocabulary(df: DataFrame, col: str) -> DataFrame:                     # M01
     return dense_index(df.select(as_text(col).alias("value")), "value")
 
 
+def vocabularies(df: DataFrame, cols) -> DataFrame:                       # M01 fit, several columns
+    """(column_name, value, code) for every column in one pass over ``df``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(c).alias("value")) for c in cols]))
+    return dense_index(df.select(pairs.alias("p")).select("p.*"), "value", group="column_name")
+
+
 def apply_codes(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:   # M01 / J04
     """Code of ``col`` through ``vocab``; unseen values and nulls get 0."""
     out = out or f"{col}_enc"
@@ -56,14 +64,14 @@ def apply_codes(df: DataFrame, col: str, vocab: DataFrame, out: str | None = Non
 def fit_apply_codes(df: DataFrame, cols) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Label-encode several columns, returning the frame and the fitted vocabularies.
 
-    During fitting a null is encoded as the text 'None' (as astype(str) does),
-    so its code is the one of 'None' in the sorted vocabulary.
+    All vocabularies come from one pass (:func:`vocabularies`).  During
+    fitting a null is encoded as the text 'None' (as astype(str) does), so its
+    code is the one of 'None' in the sorted vocabulary.
     """
-    vocabs = {}
+    allv = vocabularies(df, cols).checkpoint(eager=True)                  # small: distinct values only
+    vocabs = {c: allv.where(F.col("column_name") == c).select("value", "code") for c in cols}
     for c in cols:
-        v = vocabulary(df, c)
-        vocabs[c] = v
-        lookup = v.select(F.col("value").alias("_v"), F.col("code").alias(f"{c}_enc"))
+        lookup = vocabs[c].select(F.col("value").alias("_v"), F.col("code").alias(f"{c}_enc"))
         df = df.withColumn("_v", as_text(c)).join(bounded_broadcast(lookup), "_v", "left").drop("_v")
     return df, vocabs
 

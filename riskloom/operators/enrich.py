@@ -46,12 +46,33 @@ def add_threat_lookup(df: DataFrame, threats: DataFrame, code_col: str = "threat
     return df.join(bounded_broadcast(lookup), code_col, "left")
 
 
+def frequencies(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """All frequency tables in one pass: (set, key, n) for every ``name -> key`` in ``keys``.
+
+    Each row is exploded into one (set, key-as-text) pair per key and a single
+    grouped count (partial aggregation) produces every table at once.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("set"), F.col(k).cast("string").alias("key"))
+                                for name, k in keys.items()]))
+    return df.select(pairs.alias("p")).select("p.*").groupBy("set", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def feature_frame(incidents: DataFrame, threats: DataFrame) -> DataFrame:
-    """The analysis frame: incident columns, calendar, threat name and the 14 features."""
+    """The analysis frame: incident columns, calendar, threat name and the 14 features.
+
+    The three frequencies come from one pass (:func:`frequencies`), checked
+    for size once and broadcast; the threat catalogue joins onto the small
+    threat-frequency table, not onto the incidents.
+    """
     df = cal.with_calendar(incidents)
-    df = add_threat_lookup(df, threats)
-    df = add_frequency(df, "region", "region_freq")
-    df = add_frequency(df, "enterprise_type", "industry_freq")
+    keys = {"threat_freq": "threat_code", "region_freq": "region", "industry_freq": "enterprise_type"}
+    freq = bounded_broadcast(frequencies(df, keys))
+    for name, key in keys.items():
+        dtype = dict(df.dtypes)[key]
+        part = freq.where(F.col("set") == name).select(F.col("key").cast(dtype).alias(key), F.col("n").alias(name))
+        if name == "threat_freq":
+            part = part.join(threat_names(threats, key), key, "left")
+        df = df.join(part if name != "threat_freq" else bounded_broadcast(part), key, "left")
     df = cal.with_time_flags(df)
     df = df.withColumns({
         "region_industry": join_key("region", "enterprise_type"),

@@ -50,12 +50,7 @@ def _vocab_sql(col):
 
 @register("m01_label_vocabularies", q(" UNION ALL ".join(_vocab_sql(c) for c in CL.CAT_COLS), feat=True), "M01")
 def m01(spark, d):
-    f = _features(spark, d)
-    parts = [EN.vocabulary(f, c).select(F.lit(c).alias("column_name"), "value", "code") for c in CL.CAT_COLS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return EN.vocabularies(_features(spark, d), CL.CAT_COLS)
 
 
 @register("j04_vocab_lookup_unseen", q("""SELECT e.incident_id,
@@ -71,10 +66,11 @@ def m01(spark, d):
           "coalesce(enterprise_type, 'None') || '_' || coalesce(CAST(threat_code AS VARCHAR), 'None') "
           "AS industry_threat FROM incidents_ev)",)), "J04", "M01", "P11")
 def j04(spark, d):
-    f = _features(spark, d)
-    ev = T.incidents_ev(spark, d).select("incident_id", "enterprise_type", join_key("enterprise_type", "threat_code").alias("industry_threat"))
-    ev = EN.apply_codes(ev, "enterprise_type", EN.vocabulary(f, "enterprise_type"))
-    ev = EN.apply_codes(ev, "industry_threat", EN.vocabulary(f, "industry_threat"))
+    voc = EN.vocabularies(_features(spark, d), ["enterprise_type", "industry_threat"]).checkpoint(eager=True)
+    ev = T.incidents_ev(spark, d).select("incident_id", "enterprise_type",
+                                         join_key("enterprise_type", "threat_code").alias("industry_threat"))
+    for c in ("enterprise_type", "industry_threat"):
+        ev = EN.apply_codes(ev, c, voc.where(F.col("column_name") == c).select("value", "code"))
     return ev.select("incident_id", "enterprise_type_enc", "industry_threat_enc")
 
 
