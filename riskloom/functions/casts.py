@@ -39,7 +39,7 @@ def parse_dayfirst(x, formats=DAYFIRST_FORMATS) -> Column:  # S10: bad -> null
 
 
 def naive_utc(x) -> Column:                                # S12: zone-aware -> naive UTC wall clock
-    return F.convert_timezone(F.lit("UTC"), _c(x).cast("timestamp_ntz"))
+    return F.convert_timezone(None, F.lit("UTC"), _c(x).cast("timestamp_ntz"))
 
 
 def parse_date(x) -> Column:                               # S13

@@ -460,3 +460,10 @@ def f10(spark, d):
 def f11(spark, d):
     inc = T.incidents_li(spark, d)
     return FL.in_top_k(inc, W.top_k_by_count(inc, "threat_code"), "threat_code")
+
+
+@register("f14_missing_column_guard", q("""SELECT incident_id, enterprise_type, enterprise_code, host_count, threat_code,
+    success, region, incident_date FROM incidents_ev WHERE false""", src="incidents_ev", cal=False), "F14")
+def f14(spark, d):
+    inc = T.incidents_ev(spark, d).drop("incident_time")
+    return FL.guard(inc, ["incident_time"])

@@ -148,3 +148,29 @@ def s19(spark, d):
     thr = upsert_last_wins([T.threat_catalog(spark, d), T.catalog_revision(spark, d)], ["threat_id"], [])
     inc = upsert_last_wins([T.incidents_li(spark, d)], ["enterprise_code", "incident_time"], _LI_ORDER)
     return SK.load_audit(threats=thr, incidents=inc)
+
+
+@register("s04_threat_read", q("SELECT threat_id, name FROM threats", src="threats", cal=False), "S04", "S05")
+def s04(spark, d):
+    return T.threats(spark, d)
+
+
+@register("s11_missing_time_column", q("""SELECT enterprise_type, enterprise_code, host_count, threat_code, success,
+    region, incident_date, TIMESTAMP '2024-08-12 11:00:00' AS incident_time FROM incidents_ev""",
+    src="incidents_ev", cal=False), "S11", "S02", "S06")
+def s11(spark, d):
+    path = _fresh(spark, "incident-sheet-no-time")
+    SH.write_incident_sheet(T.incidents_ev(spark, d), path)
+    raw = spark.read.option("header", "true").csv(path).drop("Региональное время")
+    path2 = _fresh(spark, "incident-sheet-no-time")
+    raw.write.option("header", "true").csv(path2)
+    return SH.read_incident_sheet(spark, path2)
+
+
+@register("s12_zone_to_naive_utc", q("""SELECT incident_id, incident_time - INTERVAL 3 HOUR AS naive_utc
+    FROM incidents_ev""", src="incidents_ev", cal=False), "S12")
+def s12(spark, d):
+    inc = T.incidents_ev(spark, d)
+    # Zone-aware instants: the wall clock is Moscow time (UTC+3 all year since 2014).
+    aware = F.convert_timezone(F.lit("Europe/Moscow"), F.current_timezone(), F.col("incident_time")).cast("timestamp")
+    return inc.select("incident_id", C.naive_utc(aware).alias("naive_utc"))

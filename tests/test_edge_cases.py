@@ -165,3 +165,19 @@ def test_month_pivot_missing_month_is_null(spark):
     df = spark.createDataFrame([(1, "зима", 1), (2, "зима", 0)], "month int, season string, success int")
     row = V.season_month_rate(df).first()
     assert (row.m01, row.m02, row.m04) == (1.0, 0.0, None)               # D7
+
+
+def test_zone_handling_independent_of_session_zone(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            rows = entry.queries()["s12_zone_to_naive_utc"](spark, SF_SMALL).orderBy("incident_id").limit(50).collect()
+            parsed = spark.createDataFrame([("12.08.2024 11:00",)], "x string").select(C.parse_dayfirst("x")).first()[0]
+            got[tz] = (rows, parsed)
+        assert got["UTC"] == got["America/New_York"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
