@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Day-first formats accepted by the sheet parser, most specific first.
-DAYFIRST_FORMATS = ("dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss",
-                    "yyyy-MM-dd")
+from riskloom.functions.wallclock import parse_wallclock
+
 
 
 def _c(x) -> Column:
@@ -32,10 +31,9 @@ def key_before_dot(x) -> Column:                           # S09: '12.0' -> 12
     return F.substring_index(_c(x).cast("string"), ".", 1).cast("int")
 
 
-def parse_dayfirst(x, formats=DAYFIRST_FORMATS) -> Column:  # S10: bad -> null
-    s = F.trim(_c(x).cast("string"))
-    parsed = [F.try_to_timestamp(s, F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+def parse_dayfirst(x) -> Column:                           # S10: bad -> null
+    """Day-first text (or ISO) to a wall-clock timestamp, built from its fields (zone-free)."""
+    return parse_wallclock(x)
 
 
 def naive_utc(x) -> Column:                                # S12: zone-aware -> naive UTC wall clock
@@ -43,9 +41,7 @@ def naive_utc(x) -> Column:                                # S12: zone-aware ->
 
 
 def parse_date(x) -> Column:                               # S13
-    s = F.trim(_c(x).cast("string"))
-    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-                      F.try_to_timestamp(s, F.lit("dd.MM.yyyy"))).cast("date")
+    return parse_wallclock(x).cast("date")
 
 
 def truthy(x, null_as: bool = True) -> Column:              # P19 / D8: bool(NaN) is True

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.functions.wallclock import fmt_day_first
 
 
 def _c(x) -> Column:
@@ -37,11 +38,11 @@ def flag_text(x) -> Column:                     # P16 (incidents): "1"/"0"
 
 
 def fmt_date(x) -> Column:                      # P17
-    return F.coalesce(F.date_format(_c(x), "dd.MM.yyyy"), F.lit(""))
+    return F.coalesce(fmt_day_first(_c(x), with_time=False), F.lit(""))
 
 
 def fmt_datetime(x) -> Column:                  # P17
-    return F.coalesce(F.date_format(_c(x), "dd.MM.yyyy HH:mm"), F.lit(""))
+    return F.coalesce(fmt_day_first(_c(x)), F.lit(""))
 
 
 def or_empty(x) -> Column:                      # P18

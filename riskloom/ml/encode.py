@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import as_text
 from riskloom.operators.joins import bounded_broadcast
+from riskloom.session import reliable_checkpoint
 
 
 def dense_index(values: DataFrame, col: str, index_col: str = "code", partitions: int | None = None,
@@ -30,9 +31,8 @@ def dense_index(values: DataFrame, col: str, index_col: str = "code", partitions
     gcols = [group] if group else []
     distinct = values.select(*keys).distinct()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = (distinct.repartitionByRange(n, *keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    parted = reliable_checkpoint(distinct.repartitionByRange(n, *keys)
+                                 .withColumn("_pid", F.spark_partition_id()))
     sizes = parted.groupBy("_pid", *gcols).agg(F.count(F.lit(1)).alias("_n"))     # ≤ n × groups rows
     before = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -68,7 +68,7 @@ def fit_apply_codes(df: DataFrame, cols) -> tuple[DataFrame, dict[str, DataFrame
     fitting a null is encoded as the text 'None' (as astype(str) does), so its
     code is the one of 'None' in the sorted vocabulary.
     """
-    allv = vocabularies(df, cols).checkpoint(eager=True)                  # small: distinct values only
+    allv = reliable_checkpoint(vocabularies(df, cols))                    # small: distinct values only
     vocabs = {c: allv.where(F.col("column_name") == c).select("value", "code") for c in cols}
     for c in cols:
         lookup = vocabs[c].select(F.col("value").alias("_v"), F.col("code").alias(f"{c}_enc"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import calendar as cal
 from riskloom.functions import text as tx
+from riskloom.functions.wallclock import ntz_lit
 from riskloom.operators import aggregates as A
 from riskloom.operators import enrich as E
 from riskloom.operators import filters as FL
@@ -408,8 +409,8 @@ def f03(spark, d):
     src="incidents_ev", cal=False), "F04")
 def f04(spark, d):
     inc = T.incidents_ev(spark, d)
-    as_of = inc.agg(F.max("incident_time")).first()[0]
-    return FL.recent(inc, F.lit(as_of))
+    as_of = inc.agg(F.max("incident_time")).first()[0]            # one scalar: the dashboard's "now"
+    return FL.recent(inc, ntz_lit(as_of))
 
 
 @register("f06_threat_facets", q("""SELECT * FROM threat_catalog WHERE status = 'Brand#3' AND target_object = 'SMALL'""",

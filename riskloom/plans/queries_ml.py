@@ -29,7 +29,7 @@ from riskloom.plans import analysis as AN
 from riskloom.plans import report as R
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
-from riskloom.session import scratch_path
+from riskloom.session import reliable_checkpoint, scratch_path
 from riskloom.sources import tables as T
 
 IDS = AN.LI_ID_COLS
@@ -66,7 +66,7 @@ def m01(spark, d):
           "coalesce(enterprise_type, 'None') || '_' || coalesce(CAST(threat_code AS VARCHAR), 'None') "
           "AS industry_threat FROM incidents_ev)",)), "J04", "M01", "P11")
 def j04(spark, d):
-    voc = EN.vocabularies(_features(spark, d), ["enterprise_type", "industry_threat"]).checkpoint(eager=True)
+    voc = reliable_checkpoint(EN.vocabularies(_features(spark, d), ["enterprise_type", "industry_threat"]))
     ev = T.incidents_ev(spark, d).select("incident_id", "enterprise_type",
                                          join_key("enterprise_type", "threat_code").alias("industry_threat"))
     for c in ("enterprise_type", "industry_threat"):

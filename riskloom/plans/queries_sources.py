@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import casts as C
+from riskloom.functions.wallclock import fmt_day_first
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
 from riskloom.session import scratch_path
@@ -104,11 +105,10 @@ def s09(spark, d):
 def s10(spark, d):
     e = T.table(spark, d, "events")
     txt = (F.when(F.col("event_id") % 10 == 0, F.col("props"))
-           .when(F.col("event_id") % 10 == 1, F.date_format("ts", "dd.MM.yyyy"))
-           .otherwise(F.date_format("ts", "dd.MM.yyyy HH:mm")))
+           .when(F.col("event_id") % 10 == 1, fmt_day_first("ts", with_time=False))
+           .otherwise(fmt_day_first("ts")))
     e = e.select("event_id", txt.alias("txt"))
-    return e.select("event_id", "txt", C.parse_dayfirst("txt", ("dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm",
-                                                               "dd.MM.yyyy")).alias("parsed"))
+    return e.select("event_id", "txt", C.parse_dayfirst("txt").alias("parsed"))
 
 
 _UPSERT_SQL = q("""SELECT * EXCLUDE (_batch, _rn) FROM (

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.functions.wallclock import ntz_lit
 from riskloom.ml import score as SC
 from riskloom.operators.filters import dashboard_filter
 from riskloom.plans import analysis as AN
@@ -35,7 +36,7 @@ def _t01_sql(filtered: bool) -> str:
 
 
 def _as_of(inc):
-    return F.lit(inc.agg(F.max("incident_time")).first()[0])      # the dashboard's "now": one scalar
+    return ntz_lit(inc.agg(F.max("incident_time")).first()[0])    # the dashboard's "now": one scalar
 
 
 @register("t01_recent_attack_latest", _t01_sql(False), "T01", "F04", "W12", "P24")

@@ -72,13 +72,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def reliable_checkpoint(df):
+    """Eager reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_spread(df):
     """Reliable checkpoint; if the result has fewer partitions than the cluster's
     default parallelism (small inputs coalesced by adaptive execution), spread it
     round-robin and checkpoint again so iterative fits use every core.  At scale
     the first checkpoint already has many partitions and nothing extra happens."""
-    out = df.checkpoint(eager=True)
+    out = reliable_checkpoint(df)
     par = out.sparkSession.sparkContext.defaultParallelism
     if out.rdd.getNumPartitions() < par:
-        out = out.repartition(par).checkpoint(eager=True)
+        out = reliable_checkpoint(out.repartition(par))
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from riskloom import constants as K
 from riskloom.functions import casts as C
+from riskloom.functions.wallclock import fmt_day_first
 
 CATALOGUE_COLUMNS = list(K.CATALOGUE_HEADERS.values())
 # The CSV writer trims cell text by default; sheet cells keep their spaces.
@@ -102,8 +103,8 @@ def write_threat_sheet(catalog: DataFrame, path: str, banner: str = "Переч
         flag("confidentiality_breach").alias("confidentiality_breach"),
         flag("integrity_breach").alias("integrity_breach"),
         flag("availability_breach").alias("availability_breach"),
-        F.date_format("date_added", "yyyy-MM-dd").alias("date_added"),
-        F.date_format("last_modified", "dd.MM.yyyy").alias("last_modified"),
+        F.col("date_added").cast("string").alias("date_added"),
+        fmt_day_first("last_modified", with_time=False).alias("last_modified"),
         "status", F.coalesce("notes", F.lit("")).alias("notes"))
     lead.unionByName(body).write.mode("overwrite").options(**_KEEP_SPACES).option("header", "false").csv(path)
 
@@ -117,8 +118,8 @@ def write_incident_sheet(incidents: DataFrame, path: str) -> None:
         "threat_code": F.col("threat_code").cast("string"),
         "success": F.col("success").cast("string"),
         "region": F.col("region"),
-        "incident_date": F.date_format("incident_date", "dd.MM.yyyy"),
-        "incident_time": F.date_format("incident_time", "dd.MM.yyyy HH:mm:ss"),
+        "incident_date": fmt_day_first("incident_date", with_time=False),
+        "incident_time": fmt_day_first("incident_time", seconds=True),
     }
     inv = {v: k for k, v in K.INCIDENT_SHEET_HEADERS.items()}
     incidents.select(*[c.alias(inv[n]) for n, c in cols.items()]) \

@@ -16,7 +16,7 @@ INCIDENT_COLUMNS = ["enterprise_type", "enterprise_code", "host_count", "threat_
 
 def write_incident_table(df: DataFrame, path: str) -> None:                      # S18
     """Partitioned write; rows are clustered by month first so each task writes few files."""
-    out = df.withColumn("incident_month", F.date_format("incident_date", "yyyy-MM"))
+    out = df.withColumn("incident_month", F.format_string("%04d-%02d", F.year("incident_date"), F.month("incident_date")))
     (out.repartition("incident_month", F.pmod(F.hash("enterprise_code", "incident_time"), F.lit(16)))
         .write.mode("overwrite").partitionBy("incident_month").parquet(path))
 
