@@ -4,11 +4,11 @@ The split is exact and reproducible: in every class the ``ceil(f · n_c)`` rows
 with the smallest ``md5(seed | id)`` (ties by the id columns) form the test
 set.  It is computed without ranking a whole class in one task:
 
-1. the first five hex digits of the hash give 2^20 buckets; bucket counts per
-   class are a small aggregate (partial combine, at most classes × 2^20 rows);
+1. the first four hex digits of the hash give 2^16 buckets; bucket counts per
+   class are a small aggregate (partial combine, at most classes × 2^16 rows);
 2. a running sum per class finds the boundary bucket that holds the
    ``k_c``-th row; rows below it are test, rows above it train;
-3. only rows of the boundary bucket (about n_c / 2^20 of the class) are ranked.
+3. only rows of the boundary bucket (about n_c / 2^16 of the class) are ranked.
 
 The per-class boundary table has one row per class and is broadcast.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.operators.joins import bounded_broadcast
 
-BUCKET_HEX_DIGITS = 5
+BUCKET_HEX_DIGITS = 4
 
 
 def split_hash(seed: int, id_cols) -> Column:

@@ -172,9 +172,13 @@ def latch_alerts(df: DataFrame, key: str = "region", latch_seconds: int = K.ALER
     widths = (ev.groupBy("key", "day").agg(F.count(F.lit(1)).alias("_n"))
                 .select("key", "day", F.when(F.col("_n") > max_group_rows, F.lit(hour)).otherwise(F.lit(day))
                         .alias("_w")))
+    # An explicit partition count: adaptive execution would coalesce this small-looking
+    # shuffle into very few tasks, but the grouped phases below are compute-heavy.  Both
+    # grouped phases reuse this one hash partitioning on (key, bucket).
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ev = ev.join(bounded_broadcast(widths), ["key", "day"]) \
            .withColumn("bucket", (F.floor(F.col("us") / F.col("_w")) * F.col("_w")).cast("bigint")) \
-           .drop("day", "_w")
+           .drop("day", "_w").repartition(parts, "key", "bucket")
     tables = ev.select("key", "bucket", "us").groupBy("key", "bucket").applyInPandas(
         _phase1(L), "key string, bucket bigint, hi bigint, last bigint")
     entry = tables.groupBy("key").applyInPandas(_phase2(L), "key string, bucket bigint, th bigint")
