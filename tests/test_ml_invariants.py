@@ -134,3 +134,45 @@ def test_importances_normalised(spark, analysis):
 def test_vector_probabilities_column(analysis):
     p = analysis.success.test_predictions.select(vector_to_array("probability").alias("p")).first().p
     assert abs(sum(p) - 1.0) < 1e-9
+
+
+def test_tree_shap_equals_brute_force_shapley(spark):
+    """Exact path-dependent Shapley values: table lookup = enumeration over all feature subsets."""
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+    rows = [(float((i * 7) % 3 == 0), Vectors.dense([i % 5, (i * 3) % 7, i % 3, (i * 11) % 4]), 1.0 + i % 3)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, ["label", "features", "w"])
+    model = GBTClassifier(maxIter=4, maxDepth=3, seed=3, weightCol="w").fit(df)
+    trees = XP.tree_arrays(model)
+
+    def cond_exp(a, node, x, S):
+        if a["left"][node] < 0:
+            return a["value"][node]
+        f, t = int(a["feature"][node]), a["threshold"][node]
+        lft, rgt = a["left"][node], a["right"][node]
+        if f in S:
+            return cond_exp(a, lft if x[f] <= t else rgt, x, S)
+        c = a["cover"][node]
+        return (a["cover"][lft] * cond_exp(a, lft, x, S) + a["cover"][rgt] * cond_exp(a, rgt, x, S)) / c
+
+    def v(x, S):
+        return sum(w * cond_exp(a, 0, x, S) for w, a in trees)
+
+    X = np.array([r[1].toArray() for r in rows[:25]])
+    d = X.shape[1]
+    got = XP.contributions(spark.createDataFrame([(r[1],) for r in rows[:25]], ["features"]), model).toPandas()
+    for n, x in enumerate(X):
+        want = np.zeros(d)
+        for i in range(d):
+            rest = [k for k in range(d) if k != i]
+            for s in range(d):
+                for S in combinations(rest, s):
+                    wgt = factorial(s) * factorial(d - s - 1) / factorial(d)
+                    want[i] += wgt * (v(x, set(S) | {i}) - v(x, set(S)))
+        assert np.allclose(got["contrib"][n], want, atol=1e-9)
+        assert abs(got["bias"][n] - v(x, set())) < 1e-9                       # E[f]
+        assert abs(np.sum(got["contrib"][n]) + got["bias"][n] - got["margin"][n]) < 1e-9
