@@ -59,12 +59,35 @@ def rate_and_count_by(df: DataFrame, key: str, label: str = "success", min_suppo
 
 
 def threat_success(df: DataFrame, min_support: int = K.THREAT_MIN_SUPPORT, k: int = K.TOP_K) -> DataFrame:  # A09
-    """Success rate by threat *name* (D25), groups with at least ``min_support`` rows, top ``k``."""
-    named = df.where(F.col("threat_name").isNotNull())
-    stats = rate_and_count_by(named, "threat_name", min_support=min_support)
+    """Success rate by threat *name* (D25), groups with at least ``min_support`` rows, top ``k``.
+
+    ``df`` is either incidents already carrying ``threat_name`` or the output
+    of :func:`threat_name_stats` (columns threat_name, success_rate, n).
+    """
+    if "n" in df.columns and "success_rate" in df.columns:
+        stats = df.where(F.col("n") >= min_support)
+    else:
+        named = df.where(F.col("threat_name").isNotNull())
+        stats = rate_and_count_by(named, "threat_name", min_support=min_support)
     return stats.orderBy(F.desc("success_rate"), F.asc("threat_name")).limit(k)
 
 
+def threat_name_stats(incidents: DataFrame, threats: DataFrame, label: str = "success") -> DataFrame:
+    """(threat_name, success_rate, n) with the aggregation pushed below the name join.
+
+    Incidents are first reduced to one row per threat code (partial
+    aggregation), so the catalogue join sees #codes rows instead of every
+    incident; the per-name rate is then sum / count, exactly the mean over the
+    incidents.  Codes without a catalogue entry have no name and drop out (D4).
+    """
+    by_code = incidents.groupBy("threat_code").agg(F.sum(label).cast("bigint").alias("_s"),
+                                                   F.count(F.lit(1)).alias("_n"))
+    names = threats.select(F.col("threat_id").cast("int").alias("threat_code"), F.col("name").alias("threat_name"))
+    named = by_code.join(names, "threat_code")
+    return named.groupBy("threat_name").agg((F.sum("_s").cast("double") / F.sum("_n")).alias("success_rate"),
+                                            F.sum("_n").cast("bigint").alias("n"))
+
+
 def count_by(df: DataFrame, key: str, name: str = "n") -> DataFrame:               # A11
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 

@@ -209,8 +209,7 @@ A09_SQL = q("""SELECT t.name AS threat_name, avg(c.success) AS success_rate, cou
 
 @register("a09_threat_success_min_support", A09_SQL, "A09", "F05", "J01", "R01")
 def a09(spark, d):
-    inc = T.incidents_li(spark, d)
-    return A.threat_success(E.join_threat_names(inc, T.threats(spark, d)))
+    return A.threat_success(A.threat_name_stats(T.incidents_li(spark, d), T.threats(spark, d)))
 
 
 @register("a10_industry_pct_min_support", q("""SELECT enterprise_type, avg(success) * 100 AS success_pct, count(*) AS n
@@ -297,8 +296,8 @@ def w05(spark, d):
     WHERE t.name IS NOT NULL GROUP BY t.name ORDER BY n DESC, threat_name ASC LIMIT 10""",
     cal=False, views=("threats",)), "W06", "J01")
 def w06(spark, d):
-    named = E.join_threat_names(T.incidents_li(spark, d), T.threats(spark, d))
-    return W.top_k_by_count(named, "threat_name")
+    stats = A.threat_name_stats(T.incidents_li(spark, d), T.threats(spark, d))
+    return stats.orderBy(F.desc("n"), F.asc("threat_name")).limit(K.TOP_K).select("threat_name", "n")
 
 
 @register("w07_top_threat_codes", _top_sql("threat_code"), "W07")

@@ -180,14 +180,14 @@ _RECS_CTE = """recs AS (
        FROM cal c JOIN threats t ON t.threat_id = c.threat_code GROUP BY t.name HAVING count(*) >= 10) WHERE rk <= 5))"""
 
 
-def _named_cal(spark, d):
-    return E.join_threat_names(cal.with_calendar(T.incidents_li(spark, d)), T.threats(spark, d))
+def _recs(spark, d):
+    return R.recommendations(cal.with_calendar(T.incidents_li(spark, d)), T.threats(spark, d))
 
 
 @register("r02_recommendations", q("SELECT topic, rank, value FROM recs", views=("threats",), ctes=(_RECS_CTE,)),
           "R02", "W08", "W09", "A07", "A08", "A09")
 def r02(spark, d):
-    return R.recommendations(_named_cal(spark, d))
+    return _recs(spark, d)
 
 
 def _list_sql(topic):
@@ -212,7 +212,7 @@ _LINES_SQL = q(f"""SELECT 1 AS line_no, {_tpl(K.REC_TIME, hour="(SELECT value FR
 
 @register("r02_recommendation_lines", _LINES_SQL, "R02", "W09")
 def r02_lines(spark, d):
-    return R.recommendation_lines(R.recommendations(_named_cal(spark, d)))
+    return R.recommendation_lines(_recs(spark, d))
 
 
 @register("s21_overview_metrics", q("""SELECT 'overview' AS section, 'incidents' AS metric, CAST(count(*) AS DOUBLE) AS value

@@ -27,6 +27,8 @@ def test_column_pruning_on_lineitem(spark):
 
 def test_aggregates_combine_partially(spark):
     p = plan(QUERIES["a09_threat_success_min_support"](spark, SF_SMALL))
+    assert "partial_sum" in p and "partial_count" in p
+    p = plan(QUERIES["a10_industry_pct_min_support"](spark, SF_SMALL))
     assert "partial_avg" in p and "partial_count" in p
 
 
