@@ -28,18 +28,28 @@ def ntz_lit(value: dt.datetime | dt.date | None) -> Column:
     return F.lit(value.isoformat()).cast("date")
 
 
+def pad2(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def year4(c: Column) -> Column:
+    # lpad truncates longer strings, so years outside 0..9999 take the slower exact format.
+    return F.when(c.between(0, 9999), F.lpad(c.cast("string"), 4, "0")).otherwise(F.format_string("%04d", c))
+
+
 def fmt_day_first(x, with_time: bool = True, seconds: bool = False) -> Column:
-    """'dd.MM.yyyy', 'dd.MM.yyyy HH:mm' or 'dd.MM.yyyy HH:mm:ss' from the value's fields; null stays null."""
+    """'dd.MM.yyyy', 'dd.MM.yyyy HH:mm' or 'dd.MM.yyyy HH:mm:ss' from the value's fields; null stays null.
+
+    Built from lpad/concat (generated code) rather than format_string, which
+    calls java.lang.String.format per row.
+    """
     x = _c(x)
-    if not with_time:
-        s = F.format_string("%02d.%02d.%04d", F.dayofmonth(x), F.month(x), F.year(x))
-    elif seconds:
-        s = F.format_string("%02d.%02d.%04d %02d:%02d:%02d", F.dayofmonth(x), F.month(x), F.year(x),
-                            F.hour(x), F.minute(x), F.second(x))
-    else:
-        s = F.format_string("%02d.%02d.%04d %02d:%02d", F.dayofmonth(x), F.month(x), F.year(x),
-                            F.hour(x), F.minute(x))
-    return F.when(x.isNotNull(), s)
+    parts = [pad2(F.dayofmonth(x)), F.lit("."), pad2(F.month(x)), F.lit("."), year4(F.year(x))]
+    if with_time:
+        parts += [F.lit(" "), pad2(F.hour(x)), F.lit(":"), pad2(F.minute(x))]
+        if seconds:
+            parts += [F.lit(":"), pad2(F.second(x))]
+    return F.when(x.isNotNull(), F.concat(*parts))
 
 
 _DAY_FIRST = r"^\s*(\d{1,2})\.(\d{1,2})\.(\d{4})(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?)?\s*$"

@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.wallclock import pad2, year4
+
 INCIDENT_COLUMNS = ["enterprise_type", "enterprise_code", "host_count", "threat_code", "success", "region",
                     "incident_date", "incident_time"]
 
 
 def write_incident_table(df: DataFrame, path: str) -> None:                      # S18
     """Partitioned write; rows are clustered by month first so each task writes few files."""
-    out = df.withColumn("incident_month", F.format_string("%04d-%02d", F.year("incident_date"), F.month("incident_date")))
+    out = df.withColumn("incident_month", F.concat(year4(F.year("incident_date")), F.lit("-"),
+                                                     pad2(F.month("incident_date"))))
     (out.repartition("incident_month", F.pmod(F.hash("enterprise_code", "incident_time"), F.lit(16)))
         .write.mode("overwrite").partitionBy("incident_month").parquet(path))
 

@@ -181,3 +181,12 @@ def test_zone_handling_independent_of_session_zone(spark):
         assert got["UTC"] == got["America/New_York"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_day_first_format_padding(spark):
+    from riskloom.functions.wallclock import fmt_day_first
+    df = spark.createDataFrame([(dt.date(5, 3, 4), t("0005-03-04T07:08:09")), (dt.date(2024, 12, 31), t("2024-12-31T23:59:00")),
+                                (None, None)], "d date, ts timestamp_ntz")
+    got = [tuple(r) for r in df.select(tx.fmt_date("d"), tx.fmt_datetime("ts"), fmt_day_first("ts", seconds=True)).collect()]
+    assert got == [("04.03.0005", "04.03.0005 07:08", "04.03.0005 07:08:09"),
+                   ("31.12.2024", "31.12.2024 23:59", "31.12.2024 23:59:00"), ("", "", None)]
