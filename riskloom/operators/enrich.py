@@ -74,8 +74,18 @@ def feature_frame(incidents: DataFrame, threats: DataFrame) -> DataFrame:
             part = part.join(threat_names(threats, key), key, "left")
         df = df.join(part if name != "threat_freq" else bounded_broadcast(part), key, "left")
     df = cal.with_time_flags(df)
-    df = df.withColumns({
+    df = df.withColumns(_combined_keys())
+    return cal.with_cyclic(df)
+
+
+def _combined_keys() -> dict:
+    return {
         "region_industry": join_key("region", "enterprise_type"),
         "industry_threat": join_key("enterprise_type", "threat_code"),
-    })
-    return cal.with_cyclic(df)
+    }
+
+
+def categorical_frame(incidents: DataFrame) -> DataFrame:
+    """Incident columns, calendar and the combined keys: every categorical column
+    of :func:`feature_frame`, without its frequency pass and catalogue join."""
+    return cal.with_calendar(incidents).withColumns(_combined_keys())

@@ -50,7 +50,7 @@ def _vocab_sql(col):
 
 @register("m01_label_vocabularies", q(" UNION ALL ".join(_vocab_sql(c) for c in CL.CAT_COLS), feat=True), "M01")
 def m01(spark, d):
-    return EN.vocabularies(_features(spark, d), CL.CAT_COLS)
+    return EN.vocabularies(E.categorical_frame(T.incidents_li(spark, d)), CL.CAT_COLS)
 
 
 @register("j04_vocab_lookup_unseen", q("""SELECT e.incident_id,
