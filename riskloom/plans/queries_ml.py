@@ -37,10 +37,6 @@ _IDS_SQL = ", ".join(IDS)
 _MD5 = "md5(concat_ws('|', '42', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in IDS) + "))"
 
 
-def _features(spark, d):
-    return E.feature_frame(T.incidents_li(spark, d), T.threats(spark, d))
-
-
 # ----------------------------------------------------------------- encoding
 
 def _vocab_sql(col):
@@ -66,7 +62,8 @@ def m01(spark, d):
           "coalesce(enterprise_type, 'None') || '_' || coalesce(CAST(threat_code AS VARCHAR), 'None') "
           "AS industry_threat FROM incidents_ev)",)), "J04", "M01", "P11")
 def j04(spark, d):
-    voc = reliable_checkpoint(EN.vocabularies(_features(spark, d), ["enterprise_type", "industry_threat"]))
+    voc = reliable_checkpoint(EN.vocabularies(E.categorical_frame(T.incidents_li(spark, d)),
+                                              ["enterprise_type", "industry_threat"]))
     ev = T.incidents_ev(spark, d).select("incident_id", "enterprise_type",
                                          join_key("enterprise_type", "threat_code").alias("industry_threat"))
     for c in ("enterprise_type", "industry_threat"):
