@@ -8,7 +8,10 @@ rule for the lineage-cutting folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,16 +59,18 @@ def build_session(master: str | None = None, app: str = "riskloom",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder used to cut lineage.
+    """Return the shared folder used to cut lineage, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    operator (a shared file system).  Only when it is unset (local tests) is a
-    fresh scratch folder created.
+    Where the setting is unset, a session on a ``local`` master gets a fresh folder, removed when the
+    process ends; on any other master executors would each write to their own disk, so that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="riskloom-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -73,9 +78,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A sub-folder of the shared checkpoint folder for written tables.
+
+    It lies in this application's own folder, which ``release_scratch`` removes.
+    """
+    return os.path.join(ensure_checkpoint_dir(spark), f"run-{spark.sparkContext.applicationId}", name)
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Remove the tables this application wrote with ``scratch_path``; call it when their readers are done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    return bool(folder.getFileSystem(conf).delete(folder, True))
 
 
 def reliable_checkpoint(df):
