@@ -61,6 +61,31 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
                       F.lit(-1) - F.pmod(F.xxhash64(text_or_empty(text)), F.lit(2 ** 62)))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a shuffle join at every size: for sides that grow with the corpus, so that no
+    size estimate makes the driver gather them."""
+    return df.hint("merge")
+
+
+MARK_BITS = 1 << 24
+
+
+def likely_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``wanted`` (one column of that name): a superset, before a shuffle.
+
+    The keys mark bits of a map of ``MARK_BITS`` bits, kept as 64-bit words: at most ``MARK_BITS / 64``
+    rows (4 MB), whatever the size of ``wanted``, so it can be broadcast.  A full map lets all rows pass.
+    """
+    def bit(k):
+        return F.pmod(F.xxhash64(k), F.lit(MARK_BITS))
+
+    marks = wanted.select(bit(key).alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(__bit & 63 as int))")).alias("__marks"))
+    asked = df.withColumn("__bit", bit(key)).withColumn("__word", F.shiftright("__bit", 6))
+    hit = asked.join(F.broadcast(marks), "__word").where(F.expr("(__marks & shiftleft(1L, cast(__bit & 63 as int))) <> 0"))
+    return hit.select(*df.columns)
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """``mapInArrow`` for a function from one batch to a dict of equally long columns."""
     spark_schema = T.StructType.fromDDL(schema)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, ints, mix64, shingle_set, text_bytes, written
+from riskloom.llm.common import arrow_map, ints, likely_in, mix64, shingle_set, shuffled, text_bytes, written
 from riskloom.llm.components import components
 
 CHUNK_SHINGLES = 1 << 19
@@ -152,13 +152,13 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return {"doc": batch.column(0), "n": np.array([len(s) for s in sets], np.int64), "set": [s.tobytes() for s in sets]}
 
     text = docs.select(F.col("doc_id").alias("doc"), text_bytes().alias("text"))
-    return arrow_map(text.join(wanted, "doc", "left_semi"), "doc long, n long, set binary", build)
+    return arrow_map(likely_in(text, "doc", wanted).join(shuffled(wanted), "doc", "left_semi"), "doc long, n long, set binary", build)
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(region, pivot, doc, n, inter, union) for rows (region, pivot, doc)."""
-    both = pairs.join(sets, "doc").join(
-        sets.select(F.col("doc").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+    both = pairs.join(shuffled(sets), "doc").join(
+        shuffled(sets.select(F.col("doc").alias("pivot"), F.col("set").alias("pivot_set"))), "pivot")
 
     def measure(batch: pa.RecordBatch) -> dict:
         inter, union = [], []
@@ -205,7 +205,7 @@ def _join_leaves(members: DataFrame, sets: DataFrame, limits: Threshold) -> Data
         "chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     tiles = dealt.select("region", "doc", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     tiles = tiles.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-                         "doc", "chunk").join(sets, "doc")
+                         "doc", "chunk").join(shuffled(sets), "doc")
     tiles = tiles.select(F.xxhash64("region", "i", "j").alias("tile"), (F.col("chunk") == F.col("i")).alias("left"),
                          (F.col("i") == F.col("j")).alias("alone"), "doc", "set")
 
@@ -295,12 +295,12 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk_s
 
     # Copies publish what their representative publishes, so only representatives go on.
     near = written(_neighbourhoods(sketches), "neighbourhoods")
-    near = written(near.join(reps, "doc", "left_semi"), "rep-neighbourhoods")
+    near = written(near.join(shuffled(reps), "doc", "left_semi"), "rep-neighbourhoods")
     degree = near.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-    best = near.join(degree, "doc").groupBy("segment").agg(
+    best = near.join(shuffled(degree), "doc").groupBy("segment").agg(
         F.max(F.struct("degree", (-F.col("doc")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("members"))
     pivots = best.where("members > 1").select("segment", (-F.col("best.neg")).alias("pivot"))
-    pairs = written(near.join(pivots, "segment").select("pivot", "doc").distinct(), "pivot-pairs")
+    pairs = written(near.join(shuffled(pivots), "segment").select("pivot", "doc").distinct(), "pivot-pairs")
 
     sets = written(_with_sets(docs, pairs.select("doc").distinct(), width), "sets")
     measured = written(_distances(pairs.withColumn("region", F.col("pivot")).select("region", "pivot", "doc"), sets),
