@@ -49,7 +49,8 @@ def _stream(rows: DataFrame, more: list[str], decide) -> DataFrame:
 def _later(batches):
     """Rows that differ from the first row of their key by (doc, pos).
 
-    All rows of the partition's first run, and the first row of its last run, are edges.
+    The first rows of the partition's first and last runs are edges: only they can be the earliest of a
+    key that also stands next door, or fail to be.
     """
     key, head, first, lead = None, None, True, None
     for cols in batches:
@@ -65,9 +66,8 @@ def _later(batches):
         if first:
             new = starts[1:] if key is None or goes_on else starts
             edge_until = int(new[0]) if len(new) else len(h1)
-            yield EDGE, [c[:edge_until] for c in cols]
+            yield EDGE, [c[:edge_until][~later[:edge_until]] for c in cols]
             first = edge_until == len(h1)
-        later[:edge_until] = False
         yield DROP, [c[later] for c in cols]
         key, head = (h1[-1], h2[-1]), (head_doc[-1], head_pos[-1])
         if not first and (not goes_on or len(starts) > 1):
