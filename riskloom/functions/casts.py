@@ -31,6 +31,19 @@ def key_before_dot(x) -> Column:                           # S09: '12.0' -> 12
     return F.substring_index(_c(x).cast("string"), ".", 1).cast("int")
 
 
+def sheet_id(x) -> Column:
+    """An id cell by the same rule, null where it is not a number."""
+    return F.substring_index(F.trim(_c(x).cast("string")), ".", 1).try_cast("int")
+
+
+def sheet_int(x) -> Column:
+    """A whole number from a sheet cell: '3.0' is 3, '12.7' is 12, an empty cell is null, other text is an error."""
+    cell = F.trim(_c(x).cast("string"))
+    whole = cell.try_cast("double").try_cast("bigint").try_cast("int")
+    return F.when(cell.isNull() | (cell == ""), F.lit(None).cast("int")).when(whole.isNotNull(), whole).otherwise(
+        F.raise_error(F.concat(F.lit("not a number in a sheet: "), cell)).cast("int"))
+
+
 def parse_dayfirst(x) -> Column:                           # S10: bad -> null
     """Day-first text (or ISO) to a wall-clock timestamp, built from its fields (zone-free)."""
     return parse_wallclock(x)
@@ -48,8 +61,8 @@ def truthy(x, null_as: bool = True) -> Column:              # P19 / D8: bool(NaN
     return F.coalesce(_c(x).try_cast("double") != 0, F.lit(null_as))
 
 
-def default_zero(x) -> Column:                             # P20
-    return F.coalesce(_c(x).try_cast("bigint"), F.lit(0).cast("bigint")).cast("int")
+def default_zero(x) -> Column:                             # P20: empty -> 0, '5.0' -> 5
+    return F.coalesce(sheet_int(x), F.lit(0))
 
 
 def clean_number(x) -> Column:                             # P22: null, NaN, ±inf -> 0

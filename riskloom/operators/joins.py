@@ -25,7 +25,7 @@ def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
     aggregation.
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.limit(max_rows + 1).count()
+    n = small.count()                   # partial counts per task; a limit would gather rows in one
     if n <= max_rows:
         return F.broadcast(small)
     small.unpersist()

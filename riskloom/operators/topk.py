@@ -38,18 +38,23 @@ def arg_max(df: DataFrame, key: str, measure: str) -> DataFrame:
     return df.orderBy(F.desc(measure), F.asc(key)).limit(1).select(key, measure)
 
 
-def default_order(df: DataFrame, page: int = 100) -> DataFrame:                 # W10
-    """First admin page: newest first (date desc, time desc), ties by the other columns."""
+def _page(df: DataFrame, size: int | None, number: int) -> DataFrame:
+    """All rows, or page ``number`` (from 0) of ``size`` rows."""
+    return df if size is None else df.offset(size * number).limit(size) if number else df.limit(size)
+
+
+def default_order(df: DataFrame, page: int | None = None, number: int = 0) -> DataFrame:                 # W10
+    """Newest first (date desc, time desc), ties by the other columns: in full, or one page of it."""
     order = [F.desc("incident_date"), F.desc("incident_time"), F.asc("enterprise_code"),
              F.asc("threat_code"), F.asc("host_count"), F.asc("success"), F.asc("region"),
              F.asc("enterprise_type")]
-    return df.orderBy(*order).limit(page)
+    return _page(df.orderBy(*order), page, number)
 
 
-def order_by_column(df: DataFrame, col: str, descending: bool = False, page: int = 100,
-                    tie_break: tuple[str, ...] = ()) -> DataFrame:               # W11
+def order_by_column(df: DataFrame, col: str, descending: bool = False, page: int | None = None,
+                    tie_break: tuple[str, ...] = (), number: int = 0) -> DataFrame:               # W11
     first = F.desc(col) if descending else F.asc(col)
-    return df.orderBy(first, *[F.asc(c) for c in tie_break if c != col]).limit(page)
+    return _page(df.orderBy(first, *[F.asc(c) for c in tie_break if c != col]), page, number)
 
 
 def latest(df: DataFrame, time_col: str = "incident_time", id_col: str = "incident_id") -> DataFrame:  # W12

@@ -2,11 +2,14 @@
 
 Read → typed projections → one aggregation per table on its key → one
 partitioned write.  The only shuffle is on the upsert key.  The stored tables
-are versioned snapshots under ``store`` with a one-line pointer ``_current``:
-a load reads the current snapshot as the oldest upsert batch, writes a new
-snapshot and then moves the pointer, so a load never overwrites what it
-reads and a failed load leaves the previous snapshot current.  Re-loading
-the same sheet is idempotent.
+are versioned snapshots under ``store``.  A load reads the newest version as
+the oldest upsert batch, writes the tables of a new one and, when both are
+complete, adds that version's marker, a new folder under ``_versions`` that is
+never changed again; Spark's ``_SUCCESS`` file in it commits the version.  A
+load that fails anywhere leaves the newest version as it was.  Only a store
+without any version is a first load; every other failure to read one is
+raised.  Inside a sheet the last row of a key wins.  Re-loading the same sheet
+is idempotent.
 """
 
 from __future__ import annotations
@@ -21,14 +24,24 @@ from riskloom.sources import sinks as SK
 from riskloom.sources.upsert import upsert_last_wins
 
 INCIDENT_KEY = ["enterprise_code", "incident_time"]
-INCIDENT_ORDER = ["host_count", "threat_code", "success", "enterprise_type", "region", "incident_date"]
+SEQUENCE = "sheet_row"
+
+
+def versions(spark: SparkSession, store: str) -> list[str]:
+    """Names of the committed versions, oldest first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(os.path.join(store, "_versions"))
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(f.getName() for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
 
 def current_version(spark: SparkSession, store: str) -> str | None:
-    try:
-        return spark.read.text(os.path.join(store, "_current")).first()["value"]
-    except Exception:  # noqa: BLE001 - no pointer yet: first load
-        return None
+    """The newest committed version; None only if there is none."""
+    found = versions(spark, store)
+    return found[-1] if found else None
 
 
 def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | None:
@@ -42,15 +55,15 @@ def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | Non
 
 def load(spark: SparkSession, threats_sheet: str, incidents_sheet: str, store: str) -> DataFrame:
     """Load both sheets into a new snapshot under ``store``; return the audit counts."""
-    old = tables(spark, store)
-    thr_batches = ([old[0]] if old else []) + [SH.read_threat_sheet(spark, threats_sheet)]
-    inc_batches = ([old[1]] if old else []) + [SH.read_incident_sheet(spark, incidents_sheet)]
-    threats = upsert_last_wins(thr_batches, ["threat_id"], [])
-    incidents = upsert_last_wins(inc_batches, INCIDENT_KEY, INCIDENT_ORDER)
-    v = uuid.uuid4().hex[:12]
+    last = current_version(spark, store)
+    old = tables(spark, store) if last else None
+    thr_batches = ([old[0]] if old else []) + [SH.read_threat_sheet(spark, threats_sheet, sequence=SEQUENCE)]
+    inc_batches = ([old[1]] if old else []) + [SH.read_incident_sheet(spark, incidents_sheet, sequence=SEQUENCE)]
+    threats = upsert_last_wins(thr_batches, ["threat_id"], [SEQUENCE], drop=(SEQUENCE,))
+    incidents = upsert_last_wins(inc_batches, INCIDENT_KEY, [SEQUENCE], drop=(SEQUENCE,))
+    v = f"{int(last.split('-')[0]) + 1 if last else 1:09d}-{uuid.uuid4().hex[:12]}"
     SK.write_threat_table(threats, os.path.join(store, f"threats-{v}"))
     SK.write_incident_table(incidents, os.path.join(store, f"incidents-{v}"))
-    spark.createDataFrame([(v,)], "value string").coalesce(1).write.mode("overwrite") \
-        .text(os.path.join(store, "_current"))
+    spark.createDataFrame([(v,)], "value string").write.text(os.path.join(store, "_versions", v))
     thr, inc = tables(spark, store)
     return SK.load_audit(threats=thr, incidents=inc)

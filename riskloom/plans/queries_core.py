@@ -333,13 +333,23 @@ _ADMIN_ORDER = ("incident_date DESC, incident_time DESC, enterprise_code, threat
 @register("w10_admin_first_page", q(f"""SELECT * FROM incidents_li ORDER BY {_ADMIN_ORDER} LIMIT 100""", cal=False),
           "W10")
 def w10(spark, d):
-    return W.default_order(T.incidents_li(spark, d))
+    return W.default_order(T.incidents_li(spark, d), page=100)
+
+
+@register("w10_admin_order", q(f"""SELECT *, row_number() OVER (ORDER BY {_ADMIN_ORDER}) > 100 AS later_page
+    FROM incidents_li""", cal=False), "W10")
+def w10_full(spark, d):
+    """Every page: the first, and all that comes after it."""
+    inc = T.incidents_li(spark, d)
+    rest = W.default_order(inc).offset(100)
+    return W.default_order(inc, page=100).withColumn("later_page", F.lit(False)).unionAll(
+        rest.withColumn("later_page", F.lit(True)))
 
 
 @register("w11_order_by_hosts", q("""SELECT * FROM incidents_li ORDER BY host_count DESC, incident_date,
     incident_time, enterprise_code, threat_code, success, region, enterprise_type LIMIT 100""", cal=False), "W11")
 def w11(spark, d):
-    return W.order_by_column(T.incidents_li(spark, d), "host_count", descending=True,
+    return W.order_by_column(T.incidents_li(spark, d), "host_count", descending=True, page=100,
                              tie_break=("incident_date", "incident_time", "enterprise_code", "threat_code",
                                         "success", "region", "enterprise_type"))
 

@@ -1,7 +1,7 @@
 """Registered queries for the alert and the streaming jobs.
 
-Stream queries replay a driver table as a file stream (several micro-batches
-in event-time order, ``availableNow``) and return what the sink holds; their
+Stream queries replay a driver table as a file stream (several steps
+in event-time order, each drained with ``availableNow``) and return what the sink holds; their
 oracle is the same SQL as the batch twin, so stream = batch is checked.
 """
 
@@ -74,8 +74,8 @@ def t02(spark, d):
 @register("t02_alert_latch_stream", _LATCH_SQL, "T02", "S17", "S16")
 def t02_stream(spark, d):
     src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "alerts-sink"), J.fresh(spark, "alerts-ckpt")
-    J.stage_events(T.table(spark, d, "events"), src, CHUNKS)
-    J.run_to_sink(AL.latch_alerts_stream(J.incident_stream(spark, src, d, max_files=1)), sink, ck)
+    J.replay(T.table(spark, d, "events"), src, lambda: J.run_to_sink(
+        AL.latch_alerts_stream(J.incident_stream(spark, src, d)), sink, ck), chunks=CHUNKS)
     return J.read_sink(spark, sink).drop("batch_id")
 
 
@@ -85,9 +85,9 @@ def t02_stream(spark, d):
     src="incidents_ev", cal=False), "T03", "A02", "S17")
 def t03(spark, d):
     src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "kpi-sink"), J.fresh(spark, "kpi-ckpt")
-    J.stage_events(T.table(spark, d, "events"), src, CHUNKS)
-    J.run_to_sink(J.kpi_stream(J.incident_stream(spark, src, d, max_files=1)), sink, ck, mode="complete")
-    return J.latest_batch(spark, sink)
+    J.replay(T.table(spark, d, "events"), src, lambda: J.run_to_sink(
+        J.kpi_stream(J.incident_stream(spark, src, d)), sink, ck, mode="update"), chunks=CHUNKS)
+    return J.kpis(spark, sink)
 
 
 @register("t03_stream_region_kpis", q("""SELECT region, count(*) AS incidents, avg(success) * 100 AS success_pct,
@@ -95,8 +95,8 @@ def t03(spark, d):
     "T03", "A08")
 def t03_region(spark, d):
     src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "rkpi-sink"), J.fresh(spark, "rkpi-ckpt")
-    J.stage_events(T.table(spark, d, "events"), src, CHUNKS)
-    J.run_to_sink(J.region_kpi_stream(J.incident_stream(spark, src, d, max_files=1)), sink, ck, mode="complete")
+    J.replay(T.table(spark, d, "events"), src, lambda: J.run_to_sink(
+        J.region_kpi_stream(J.incident_stream(spark, src, d)), sink, ck, mode="complete"), chunks=CHUNKS)
     return J.latest_batch(spark, sink)
 
 
@@ -111,8 +111,8 @@ _LI_ORDER = ["host_count", "threat_code", "success", "enterprise_type", "region"
                incident_date DESC) AS _rn FROM incidents_li) WHERE _rn = 1""", cal=False), "T04", "S15", "S16", "S17")
 def t04(spark, d):
     src, log, ck = J.fresh(spark, "incident-src"), J.fresh(spark, "incident-log"), J.fresh(spark, "ingest-ckpt")
-    J.stage_by_time(T.incidents_li(spark, d), src, "incident_time", CHUNKS)
-    J.ingest(J.event_stream(spark, src, max_files=1, schema=_LI_SCHEMA), log, ck)
+    J.replay(T.incidents_li(spark, d), src, lambda: J.ingest(J.event_stream(spark, src, schema=_LI_SCHEMA), log, ck),
+             "incident_time", CHUNKS)
     return J.resolved_incidents(spark, log, ["enterprise_code", "incident_time"], _LI_ORDER)
 
 
@@ -120,12 +120,12 @@ def t04(spark, d):
 def t05(spark, d):
     art = SC.artifacts_from(AN.analysis_for(spark, d, AN.CHECK))
     src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "generated-sink"), J.fresh(spark, "score-ckpt")
-    J.stage_events(T.table(spark, d, "events"), src, CHUNKS)
 
     def generate(batch):
         return SC.score(batch, art).select(
             F.col("incident_id").alias("source_incident_id"), F.current_timestamp().alias("generated_at"),
             F.col("success_probability").alias("confidence"), "cluster", "predicted_threat")
-    J.run_to_sink(J.incident_stream(spark, src, d, max_files=1), sink, ck, transform=generate)
+    J.replay(T.table(spark, d, "events"), src, lambda: J.run_to_sink(
+        J.incident_stream(spark, src, d), sink, ck, transform=generate), chunks=CHUNKS)
     return J.read_sink(spark, sink)
 

@@ -7,7 +7,7 @@ of part files) with an all-string schema and cast once at the edge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,21 +24,54 @@ def normalise_header(name: str) -> str:
     return name.strip().replace(" ", "_")
 
 
-def read_threat_sheet(spark: SparkSession, path: str) -> DataFrame:              # S01 + S13 + P19
+def sheet_order() -> list[Column]:
+    """Order of rows in a sheet: file name, start of the split, row inside the split."""
+    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+
+
+def _sequenced(raw: DataFrame, sequence: str | None) -> DataFrame:
+    return raw.withColumn(sequence, F.struct(*sheet_order())) if sequence else raw
+
+
+_WIDTH = 64                     # cells of a row that are looked at; a header beyond them counts as missing
+
+
+def _threat_rows(spark: SparkSession, path: str, multi_line: bool, sequence: str | None) -> DataFrame:
+    """Rows below the header, columns found by header text; with ``_id`` (S09) and ``_title`` (banner or header row)."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(_WIDTH)])
+    raw = _sequenced(spark.read.schema(schema).option("header", "false")
+                     .option("multiLine", str(multi_line).lower()).csv(path), sequence)
+    key = next(iter(K.CATALOGUE_HEADERS))
+    cells = F.array(*[F.trim(f"_c{i}") for i in range(_WIDTH)])
+    header = raw.where(F.array_contains(cells, key)).limit(1).select(cells.alias("h")).first()
+    if header is None:
+        raise ValueError(f"no header row with {key!r} in {path}")
+    place = {normalise_header(h): i for i, h in reversed(list(enumerate(header.h))) if h}
+    missing = [h for h in K.CATALOGUE_HEADERS if normalise_header(h) not in place]
+    if missing:
+        raise ValueError(f"headers missing in {path}: {missing}")
+    at = {n: f"_c{place[normalise_header(h)]}" for h, n in K.CATALOGUE_HEADERS.items()}
+    filled = F.size(F.filter(F.array(*[F.trim(F.col(c)) for c in at.values()]), lambda c: c.isNotNull() & (c != "")))
+    return raw.select(*[F.col(c).alias(n) for n, c in at.items()], C.sheet_id(at["threat_id"]).alias("_id"),
+                      ((F.trim(F.col(at["threat_id"])) == key) | (C.sheet_id(at["threat_id"]).isNull() & (filled <= 1))).alias("_title"),
+                      *([sequence] if sequence else []))
+
+
+def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = False, sequence: str | None = None) -> DataFrame:              # S01 + S13 + P19
     """Catalogue sheet whose real header is on the second row.
 
-    The file is read without a header and with an all-string schema; data rows
-    are the rows whose first cell is an integer id, which drops the banner and
-    header rows wherever they land among part files.  Columns are positional
-    in the catalogue order.  Breach cells are numbers where empty means True
-    (D8); dates are ISO or day-first.
+    Columns are found by the text of their headers, wherever they stand; a missing header is an error.
+    Ids follow S09 (``12.0`` is 12).  The banner (at most one filled cell, no id) and the header row are
+    left out wherever they land among part files; any other row without an id is an error, never
+    dropped.  Breach cells are numbers where empty means True (D8); dates are ISO or day-first.  A file
+    is split among tasks unless ``multi_line`` cells are asked for.  ``sequence`` names a column for the
+    order of rows in the sheet.
     """
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(CATALOGUE_COLUMNS))])
-    raw = spark.read.schema(schema).option("header", "false").option("multiLine", "true").csv(path)
-    raw = raw.toDF(*CATALOGUE_COLUMNS)
-    rows = raw.where(F.col("threat_id").try_cast("int").isNotNull())
+    rows = _threat_rows(spark, path, multi_line, sequence).where(~F.coalesce("_title", F.lit(False)))
+    bad = F.raise_error(F.concat(F.lit("threat row without an id: "), F.coalesce("threat_id", F.lit("")), F.lit(" "),
+                                 F.coalesce("name", F.lit("")))).cast("int")
     return rows.select(
-        F.col("threat_id").cast("int").alias("threat_id"),
+        F.coalesce("_id", bad).alias("threat_id"),
         F.col("name"),
         F.col("description"),
         F.col("threat_source"),
@@ -50,24 +83,27 @@ def read_threat_sheet(spark: SparkSession, path: str) -> DataFrame:
         C.parse_date("last_modified").alias("last_modified"),
         F.col("status"),
         F.when(F.trim(F.col("notes")) == "", None).otherwise(F.col("notes")).alias("notes"),
+        *([sequence] if sequence else []),
     )
 
 
 def count_rejected(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the catalogue sheet that are not data rows (banner, header, junk)."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(CATALOGUE_COLUMNS))])
-    raw = spark.read.schema(schema).option("multiLine", "true").csv(path)
-    return raw.agg(F.sum(F.col("_c0").try_cast("int").isNull().cast("int")).alias("rejected"))
+    """Rows of the catalogue sheet that are not data rows (banner, header, rows without an id)."""
+    rows = _threat_rows(spark, path, False, None)
+    return rows.agg(F.coalesce(F.sum(F.col("_id").isNull().cast("int")), F.lit(0).cast("bigint")).alias("rejected"))
 
 
-def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None = None) -> DataFrame:  # S02
+def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None = None, multi_line: bool = False,
+                        sequence: str | None = None) -> DataFrame:  # S02
     """Incident sheet: header row of display names, day-first dates.
 
     Headers are normalised (S06) and mapped to engine names; a missing time
     column is replaced by the constant ``default_time`` (S11).  Host count and
-    success default to 0 (P20); bad dates become null (S10).
+    success default to 0 where the cell is empty, and numbers may be written as
+    ``5.0`` (P20); other text in a number cell is an error; bad dates become null (S10).
+    ``multi_line`` and ``sequence`` as for the threat sheet.
     """
-    raw = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    raw = _sequenced(spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).csv(path), sequence)
     mapping = {normalise_header(k): v for k, v in K.INCIDENT_SHEET_HEADERS.items()}
     df = raw.toDF(*[normalise_header(c) for c in raw.columns])
     df = df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
@@ -79,11 +115,12 @@ def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None
         F.col("enterprise_type"),
         F.col("enterprise_code"),
         C.default_zero("host_count").alias("host_count"),
-        F.col("threat_code").cast("int").alias("threat_code"),
+        C.sheet_int("threat_code").alias("threat_code"),
         C.default_zero("success").alias("success"),
         F.col("region"),
         C.parse_dayfirst("incident_date").cast("date").alias("incident_date"),
         t.alias("incident_time"),
+        *([sequence] if sequence else []),
     )
 
 

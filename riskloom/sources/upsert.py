@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert_last_wins(batches: list[DataFrame], keys: list[str], order_cols: list[str] | None = None) -> DataFrame:
+def upsert_last_wins(batches: list[DataFrame], keys: list[str], order_cols: list[str] | None = None,
+                     drop: tuple[str, ...] = ()) -> DataFrame:
     """Resolve ``batches`` (oldest first) to one row per key.
 
-    ``order_cols`` give the order of rows inside a batch (the sheet order);
-    rows equal in the batch number and every order column are
+    ``order_cols`` give the order of rows inside a batch (the sheet order, as
+    the sheet readers' ``sequence`` column states it); a batch without such a
+    column counts as before all numbered rows, and sequence columns named in
+    ``drop`` do not come back.  Rows equal in the batch number and every order column are
     interchangeable only if they are equal in every column, so pass all
     non-key columns when no sequence column exists.
     """
     tagged = [b.withColumn("_batch", F.lit(i)) for i, b in enumerate(batches)]
-    u = reduce(lambda a, b: a.unionByName(b), tagged)
-    payload = [c for c in u.columns if c not in keys and c != "_batch"]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=bool(drop)), tagged)
+    payload = [c for c in u.columns if c not in keys and c != "_batch" and c not in drop]
     order_cols = order_cols if order_cols is not None else payload
     order = F.struct(F.col("_batch"), *[F.col(c) for c in order_cols])
     best = u.groupBy(*keys).agg(F.max_by(F.struct(*payload), order).alias("_row"))

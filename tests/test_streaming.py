@@ -47,8 +47,8 @@ def _rows(df):
 
 def test_stream_equals_batch(spark):
     src, sink, ck = J.fresh(spark, "src"), J.fresh(spark, "sink"), J.fresh(spark, "ck")
-    J.stage_events(T.table(spark, SF_SMALL, "events"), src, 5)
-    J.run_to_sink(AL.latch_alerts_stream(J.incident_stream(spark, src, SF_SMALL, max_files=1)), sink, ck)
+    J.replay(T.table(spark, SF_SMALL, "events"), src, lambda: J.run_to_sink(
+        AL.latch_alerts_stream(J.incident_stream(spark, src, SF_SMALL)), sink, ck), chunks=5)
     stream = J.read_sink(spark, sink)
     assert stream.select("batch_id").distinct().count() > 1              # several micro-batches ran
     batch = AL.latch_alerts(T.incidents_ev(spark, SF_SMALL))
@@ -58,9 +58,8 @@ def test_stream_equals_batch(spark):
 def test_stream_kpis_equal_batch(spark):
     from pyspark.sql import functions as F
     src, sink, ck = J.fresh(spark, "src"), J.fresh(spark, "sink"), J.fresh(spark, "ck")
-    J.stage_events(T.table(spark, SF_SMALL, "events"), src, 3)
-    J.run_to_sink(J.region_kpi_stream(J.incident_stream(spark, src, SF_SMALL, max_files=1)), sink, ck,
-                  mode="complete")
+    J.replay(T.table(spark, SF_SMALL, "events"), src, lambda: J.run_to_sink(
+        J.region_kpi_stream(J.incident_stream(spark, src, SF_SMALL)), sink, ck, mode="complete"), chunks=3)
     got = {r.region: r.incidents for r in J.latest_batch(spark, sink).collect()}
     want = {r.region: r["count"] for r in T.incidents_ev(spark, SF_SMALL).groupBy("region").count().collect()}
     assert got == want
