@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, doc_key, mix64, text_or_empty, written
+from riskloom.llm.common import WORD, doc_key, mix64, shuffled, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -133,7 +133,8 @@ def _placed(docs: DataFrame, extra: list, block_words: int, max_repeats: int, we
 
 
 def _draws(spark, blocks: np.ndarray, slots: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
-    """(source_no, block, times)."""
+    """(source_no, block, times): a row per drawn block, so it grows with the corpus.  Its size cannot be
+    estimated from the range of shards it is made of; join it as ``shuffled``."""
     shards = max(1, -(-int(slots.sum()) // shard_slots))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +170,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     rows = written(rows, "placed")
     drawn = _draws(docs.sparkSession, blocks, slots, shard_slots, seed)
     kept = ["doc_id", "size", "source_size", "target"]
-    some = _pieces(rows, length).join(drawn, ["source_no", "block"], "left").groupBy(*kept, "source_no", "start").agg(
+    some = _pieces(rows, length).join(shuffled(drawn), ["source_no", "block"], "left").groupBy(*kept, "source_no", "start").agg(
         F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0))).alias("taken"))
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = [*kept, "taken", "start"]
@@ -197,7 +198,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     rows, blocks, slots, length = _placed(docs, keys, block_words, max_repeats, weights)
     drawn = _draws(docs.sparkSession, blocks, slots, shard_slots, seed)
     # The parts of one row are bounded by the row; repeated rows keep lists of their own.
-    parts = _pieces(rows, length).join(drawn, ["source_no", "block"], "left").groupBy("__doc", "__body", "source_no", "start").agg(
+    parts = _pieces(rows, length).join(shuffled(drawn), ["source_no", "block"], "left").groupBy("__doc", "__body", "source_no", "start").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi", F.coalesce("times", F.lit(0)).alias("times")))).alias("__parts"))
     parts = parts.where(F.exists("__parts", lambda p: p["times"] > 0)).select("__doc", "__body", "__parts")
 
