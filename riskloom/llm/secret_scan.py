@@ -25,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,13 +122,16 @@ def dense_windows(s: str) -> list[tuple[int, int]]:
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    starts = [start for start, _, _ in base]
+    reach = list(accumulate((end for _, _, end in base), max))  # the furthest end of the base spans so far
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if s.isalpha() or allowed(s):
             continue
         for a, b in dense_windows(s):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, _, y in base):
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
                 out.append((a, 3, b))
     return out
 
