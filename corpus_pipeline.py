@@ -30,8 +30,8 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by n-gram Jaccard similarity; documents without words stay."""
-    return ngram_join.keep_one_per_component(docs)
+    """The smallest doc_id of each group linked by n-gram Jaccard similarity (five words, 0.8 or more); documents without words stay."""
+    return ngram_join.keep_one_per_component(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

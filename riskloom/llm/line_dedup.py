@@ -122,17 +122,19 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
 
     ``n_chars`` follows the new text if the table has it; rows that lose nothing are unchanged.
     """
-    joined = with_bitmaps(docs, keep_bitmaps(docs, **options))
-
     @F.pandas_udf("string")
     def cut(text, bitmap):
-        return text.combine(bitmap, lambda t, b: t if b is None else kept_text(t.encode(), b)[2].decode())
+        return text.combine(bitmap, lambda t, b: None if b is None else kept_text(t.encode(), b)[2].decode())
 
-    cut_rows = joined.where(F.col("__bitmap").isNotNull()).withColumn("text", cut("text", "__bitmap"))
+    loses = F.col("__bitmap").isNotNull()
+    rows = with_bitmaps(docs, keep_bitmaps(docs, **options))
+    # Only texts that lose a line go to Python.
+    rows = rows.withColumn("__cut", cut(F.when(loses, F.col("text")), "__bitmap"))
+    rows = rows.where(~loses | (F.char_length("__cut") > 0)).withColumn("text", F.when(loses, F.col("__cut")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut_rows = cut_rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    cut_rows = cut_rows.where(F.char_length("text") > 0)
-    return (joined.where(F.col("__bitmap").isNull()).unionByName(cut_rows)).select(*docs.columns)
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(loses, n_chars).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 SQL = r"""

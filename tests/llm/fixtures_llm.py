@@ -56,9 +56,9 @@ def shingles(text, width=4):
     return frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def jaccard_components(rows, percent=85):
+def jaccard_components(rows, percent=85, width=4):
     """doc_id -> smallest linked doc_id, for rows with a doc_id."""
-    sets = [(i, shingles(t)) for i, t, *_ in rows if i is not None]
+    sets = [(i, shingles(t, width)) for i, t, *_ in rows if i is not None]
     root = {i: i for i, _ in sets}
 
     def find(x):
