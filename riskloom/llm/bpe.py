@@ -27,7 +27,7 @@ import base64
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_map, text_or_empty
 
-MEMO_PIECES = 400_000
-BATCH_CHARS = 32_000_000
+MEMO_PIECES = 200_000
+BATCH_CHARS = 4_000_000
 _WORD = 64
 
 # Fixed value: the splitting pattern of the public byte-level vocabularies.
@@ -320,7 +320,7 @@ def _encoder(ranks, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
+def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
     """Consecutive texts of about BATCH_CHARS together."""
     part, size = [], 0
     for t in texts:
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str = BYTE_LEVEL_PATT
     def ids(texts):
         import pandas as pd
         encoder = _encoder(ranks, pattern)
-        return pd.Series([i for part in _portions(texts.tolist()) for i in encoder.encode(part)], dtype=object)
+        return pd.Series([i for part in _portions(texts) for i in encoder.encode(part)], dtype=object)
 
     return docs.withColumn("ids", ids(text_or_empty()))
 
@@ -364,7 +364,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str = BYTE_LEVEL_
     def digest(batch: pa.RecordBatch) -> dict:
         encoder = _encoder(ranks, pattern)
         n, of_ids, of_bytes, same = [], [], [], []
-        for part in _portions(batch.column(1).to_pylist()):
+        for part in _portions(t.as_py() for t in batch.column(1)):
             for text, codes in zip(part, encoder.numbers(part), strict=True):
                 decoded = b"".join(map(encoder.raw.__getitem__, codes))
                 ids = " ".join(map(encoder.text.__getitem__, codes))
