@@ -25,8 +25,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose key is in ten or more documents go; a document left without any character goes with them."""
-    return line_dedup.drop_lines(docs, rule="frequent", min_docs=10)
+    """Lines whose key is in ten or more documents go, and documents left without any character.
+
+    Copied text is no boilerplate: its earliest occurrence stays, so one of any number of copies goes on.
+    """
+    return line_dedup.drop_lines(docs, rule="boilerplate", min_docs=10)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

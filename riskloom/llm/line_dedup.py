@@ -6,7 +6,10 @@ streamed (``runs``); what comes back is a zlib-compressed bitmap of kept lines p
 text.  The texts are joined with their bitmaps once, at the end.
 
 ``rule="first"`` keeps the first occurrence of a key by (document, position); ``rule="frequent"``
-drops every line whose key is found in at least ``min_docs`` documents.  Keys shorter than
+drops every line whose key is found in at least ``min_docs`` documents.  ``rule="boilerplate"`` drops
+the same lines, but three lines on end (or a whole text of fewer) that are found in at least
+``min_docs`` documents are copied text: of each key in them the earliest such (document, position)
+stays, so one of a large group of copies keeps its text.  Lines without a key do not count here.  Keys shorter than
 ``min_chars`` code points are always kept.
 
 Rows: a null or empty text is one empty line.  Rows that share a doc_id are one document for the
@@ -25,17 +28,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, doc_key, text_bytes, text_or_empty, written
+from riskloom.llm.common import arrow_map, doc_key, mix64, shuffled, text_bytes, text_or_empty, written
 from riskloom.llm.runs import frequent_occurrences, later_occurrences
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
-def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2, doc, pos, body (hash of the row's text) for every line that has a key."""
+_WINDOWS = ["window0", "window1", "window2"]
+
+
+def _windows(h: list[int]) -> list[list[int]]:
+    """For the keys of a text, the hashes of the runs of three that each is the third, second and first of; 0 for none.
+
+    A text of one or two keys is one run of its own kind.
+    """
+    u, n = np.array(h, np.uint64), len(h)
+    size = min(n, 3)
+    joint = np.full(n - size + 1, size, np.uint64)
+    for i in range(size):
+        joint = mix64(joint * np.uint64(3) + u[i:n - size + i + 1])
+    joint = joint.view(np.int64).tolist()
+    if n < 3:
+        return [[0] * n, [0] * n, joint * n]
+    return [[0, 0, *joint], [0, *joint, 0], [*joint, 0, 0]]
+
+
+def line_hashes(docs: DataFrame, min_chars: int, windows: bool = False) -> DataFrame:
+    """h1, h2, doc, pos, body (hash of the row's text) for every line that has a key; ``windows`` adds ``_windows``."""
+    names = ["h1", "h2", "doc", "pos", "body", *(_WINDOWS if windows else [])]
+
     def explode(batch: pa.RecordBatch) -> dict:
-        h1, h2, doc, pos, body = [], [], [], [], []
+        h1, h2, doc, pos, body, *runs = ([] for _ in names)
         for d, b, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            first = len(h1)
             for i, line in enumerate(t.split(b"\n")):
                 key = line.strip(_BLANK).lower()
                 if not key or (min_chars > 1 and len(key.decode("utf-8", "replace")) < min_chars):
@@ -46,12 +71,26 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                 doc.append(d)
                 pos.append(i)
                 body.append(b)
+            if runs and len(h1) > first:
+                for run, w in zip(runs, _windows(h1[first:]), strict=True):
+                    run += w
         u = [np.array(x, np.uint64).view(np.int64) for x in (h1, h2)]
-        return {"h1": u[0], "h2": u[1], "doc": np.array(doc, np.int64), "pos": np.array(pos, np.int64),
-                "body": np.array(body, np.int64)}
+        return dict(zip(names, [*u, *(np.array(x, np.int64) for x in (doc, pos, body, *runs))], strict=True))
 
     rows = docs.select(doc_key().alias("doc"), F.xxhash64(text_or_empty()).alias("body"), text_bytes().alias("text"))
-    return arrow_map(rows, "h1 long, h2 long, doc long, pos long, body long", explode)
+    return arrow_map(rows, ", ".join(f"{n} long" for n in names), explode)
+
+
+def _first_in_copies(frequent: DataFrame, min_docs: int) -> DataFrame:
+    """h1, h2, doc, pos: the earliest place of each frequent key that stands in copied text.
+
+    All by aggregates that combine before the shuffle; a run in ``min_docs`` documents has frequent keys only.
+    """
+    runs = frequent.select("h1", "h2", "doc", "pos", F.explode(F.array(*_WINDOWS)).alias("run")).where("run <> 0")
+    copied = (runs.groupBy("run", "h1", "h2", "doc").agg(F.min("pos").alias("pos"))
+              .groupBy("run", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "pos")).alias("at"))
+              .where(F.col("docs") >= min_docs))
+    return copied.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", "at.doc", "at.pos")
 
 
 def keep_bitmaps(docs: DataFrame, rule: str = "frequent", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -59,11 +98,14 @@ def keep_bitmaps(docs: DataFrame, rule: str = "frequent", min_docs: int = 10, mi
 
     Bit i (little-endian) is 1 where line i goes; documents without a row keep all their lines.
     """
-    hashes = written(line_hashes(docs, min_chars), "line-hashes")
+    hashes = written(line_hashes(docs, min_chars, rule == "boilerplate"), "line-hashes")
     if rule == "first":
         gone = later_occurrences(hashes, ["body"])
     elif rule == "frequent":
         gone = frequent_occurrences(hashes, min_docs, ["body"])
+    elif rule == "boilerplate":
+        gone = frequent_occurrences(hashes, min_docs, ["body", *_WINDOWS])
+        gone = gone.join(shuffled(_first_in_copies(gone, min_docs)), ["h1", "h2", "doc", "pos"], "left_anti")
     else:
         raise ValueError(f"unknown rule {rule!r}")
     # A document's lines are bounded by the document, so this list is too.

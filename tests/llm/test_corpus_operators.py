@@ -567,3 +567,23 @@ def test_pipeline_stages(spark, tmp_path):
         else:
             assert Counter(r.doc_id for r in after) == Counter(i for i, _ in before)
             assert all(r.round_trip_ok for r in after)
+
+
+def test_pipeline_keeps_one_of_a_large_group_of_copies(spark):
+    """Twelve copies of a clean text, of a one-line text and twelve near copies, with a common line in all: one of each stays."""
+    import corpus_pipeline
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    common, clean, single, near = "all rights reserved", [line(9) for _ in range(8)], line(12), [line(9) for _ in range(20)]
+    rows = [(i, "\n\n".join(clean)) for i in range(12)] + [(i, single) for i in range(20, 32)]
+    rows += [(i, "\n".join([*near[:10], line(4), *near[10:]])) for i in range(40, 52)]
+    rows += [(i, "\n".join([line(9), common, line(9)])) for i in range(60, 75)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], SCHEMA[:5])
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stages["line_dedup"](spark, docs, SF)
+    text = {r.doc_id: r.text for r in lines.collect()}
+    assert text[0].split() == " ".join(clean).split() and text[20] == single and text[40] == rows[24][1]
+    assert not any(text[i].split() for i in range(1, 12) if i in text) and not set(range(21, 32)) & set(text)
+    assert all(len(text[i].split("\n")) == 1 for i in range(41, 52)) and not any(common in t for t in text.values())
+    kept = stages["ngram_join"](spark, lines, SF).where(F.trim("text").rlike("[a-j]")).collect()
+    assert {0, 20, 40} <= {r.doc_id for r in kept} and not {*range(1, 12), *range(21, 32)} & {r.doc_id for r in kept}
