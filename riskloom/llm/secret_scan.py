@@ -8,13 +8,14 @@ or more).  Matches that are too short are dropped after matching, so they still
 slides over each candidate; its Shannon entropy per character class is kept up to date from counts
 (one character enters, one leaves: with S = sum of c*log2(c), H = log2(W) - S/W).  A window
 counts where its characters are all of a class and H reaches that class's limit.  Classes: ``hex``
-(0-9a-f or 0-9A-F), ``lower36`` (a-z0-9) and ``mixed`` (all of the alphabet, needing a digit and
-letters of both cases).  Touching windows merge into one span of kind ``entropy``.
+(0-9a-f or 0-9A-F), ``lower36`` (a-z0-9), ``upper36`` (A-Z0-9) and ``mixed`` (all of the alphabet,
+needing a digit and letters of both cases).  Touching windows merge into one span of kind ``entropy``.
 
 *Allow-list.*  Candidates that are known to be harmless give no entropy span: plain words (letters only),
-numbers, runs with one repeated unit, UUIDs, dates and versions, paths of plain words, placeholders
-(``example``, ``xxxx``, ``changeme``, ...).  An entropy span inside a base span is not repeated.  The
-allow-list never removes a base span.
+numbers, runs with one repeated unit, UUIDs, dates and versions, paths of plain words.  Placeholders
+(``example``, ``xxxx``, ``changeme``, ...) are cut out of a candidate, and each piece between them is
+held against the list and scanned by itself, so a key beside a placeholder is found.  An entropy span
+inside a base span is not repeated.  The allow-list never removes a base span.
 
 Offsets are code points, ends exclusive.  Rows: null text is empty and has no spans; every row gives
 one row; repeated rows give equal rows; other columns are not read.  Work per text is linear.
@@ -43,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 
 WINDOW = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-LIMITS = {"hex": 3.0, "lower36": 3.5, "mixed": 3.7}
+LIMITS = {"hex": 3.0, "lower36": 3.5, "upper36": 3.5, "mixed": 3.7}
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 ALLOWED = [re.compile(p) for p in (
@@ -54,6 +55,7 @@ ALLOWED = [re.compile(p) for p in (
     r"(.{1,4}?)\1+.{0,3}\Z",                               # one unit over and over
 )]
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "0123456789", "1234567890", "abcdefgh", "your_", "dummy")
+PLACEHOLDER = re.compile("|".join(PLACEHOLDERS), re.IGNORECASE | re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,8 +71,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def allowed(candidate: str) -> bool:
-    low = candidate.lower()
-    return any(p in low for p in PLACEHOLDERS) or any(p.match(candidate) for p in ALLOWED)
+    return any(p.match(candidate) for p in ALLOWED)
+
+
+def pieces(candidate: str) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a candidate, at least a window long, that its placeholders leave."""
+    out, at = [], 0
+    for m in PLACEHOLDER.finditer(candidate):
+        out.append((at, m.start()))
+        at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(candidate))] if b - a >= WINDOW]
 
 
 def dense_windows(s: str) -> list[tuple[int, int]]:
@@ -107,6 +117,8 @@ def dense_windows(s: str) -> list[tuple[int, int]]:
             limit = LIMITS["hex"]
         elif not kinds["sign"] and not capitals:
             limit = LIMITS["lower36"]
+        elif not kinds["sign"] and not letters:
+            limit = LIMITS["upper36"]
         elif letters and capitals:
             limit = LIMITS["mixed"]
         else:
@@ -128,11 +140,15 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         s = m[0]
         if s.isalpha() or allowed(s):
             continue
-        for a, b in dense_windows(s):
-            a, b = a + m.start(), b + m.start()
-            before = bisect_right(starts, a)
-            if not before or reach[before - 1] < b:
-                out.append((a, 3, b))
+        for first, last in pieces(s):
+            piece = s[first:last]
+            if len(piece) < len(s) and allowed(piece.lstrip("+/_=-")):
+                continue
+            for a, b in dense_windows(piece):
+                a, b = a + m.start() + first, b + m.start() + first
+                before = bisect_right(starts, a)
+                if not before or reach[before - 1] < b:
+                    out.append((a, 3, b))
     return out
 
 

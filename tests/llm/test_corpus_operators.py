@@ -384,6 +384,19 @@ def test_allow_list_silences_the_harmless():
     assert secret_scan.entropy_spans("key wJalrXUtnFEMI7K7MDENGbPxRfiCY9 end", [])
 
 
+def test_upper_case_keys_and_keys_beside_placeholders_are_found():
+    rng = random.Random(21)
+    upper = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(32))
+    mixed = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    assert secret_scan.entropy_spans(f"seed {upper} end", []) == [(5, 3, 37)]
+    for before in ("/example/", "dummy_key=", "example-", "changeme"):
+        (a, _, b), = secret_scan.entropy_spans(f"see {before}{mixed}/example", [])
+        assert a <= 4 + len(before) and b >= 4 + len(before) + len(mixed)
+    for s in ("example/path/to/some/module/file", "example-2024-01-02-2024-01-03-2024", "xxxxxxxxxxxxxxxxxxxxxxxx1",
+              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "THIS_IS_A_LONG_CONSTANT_NAME_2"):
+        assert secret_scan.entropy_spans(f"see {s} here", []) == []
+
+
 # --- 8: substring dedup
 
 def test_units_tile_the_text():
