@@ -20,6 +20,7 @@ from riskloom.operators import pivots as V
 from riskloom.operators import topk as W
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
+from riskloom.session import reliable_checkpoint
 from riskloom.sources import tables as T
 
 
@@ -341,9 +342,9 @@ def w10(spark, d):
 def w10_full(spark, d):
     """Every page: the first, and all that comes after it."""
     inc = T.incidents_li(spark, d)
-    rest = W.default_order(inc).offset(100)
-    return W.default_order(inc, page=100).withColumn("later_page", F.lit(False)).unionAll(
-        rest.withColumn("later_page", F.lit(True)))
+    first = reliable_checkpoint(W.default_order(inc, page=100))
+    return first.withColumn("later_page", F.lit(False)).unionAll(
+        W.default_order_after(inc, first).withColumn("later_page", F.lit(True)))
 
 
 @register("w11_order_by_hosts", q("""SELECT * FROM incidents_li ORDER BY host_count DESC, incident_date,

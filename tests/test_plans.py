@@ -47,3 +47,30 @@ def test_upsert_uses_hash_aggregate_not_sort_window(spark):
 def test_pivot_values_are_fixed(spark):
     df = QUERIES["v01_weekday_hour_rate"](spark, SF_SMALL)
     assert df.columns == ["dow"] + [f"h{h:02d}" for h in range(24)]
+
+
+def test_admin_order_needs_no_single_task(spark):
+    plan = entry.queries()["w10_admin_order"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Offset" not in plan and "GlobalLimit 100" not in plan
+
+
+@pytest.mark.parametrize("copies", [1, 90, 400])
+def test_rows_after_the_first_page_with_ties_and_nulls(spark, copies):
+    """Rows equal to the page's last row, over several partitions, are neither lost nor given twice."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import topk as W
+    from riskloom.session import reliable_checkpoint
+    day = dt.datetime(2024, 1, 5)
+    rows = [(day.date(), day, "7", 3, 5, 1, None, "b")] * copies
+    rows += [(None if i % 9 == 0 else dt.date(2024, 1, 1 + i % 9), None if i % 4 == 0 else day, str(i % 5),
+              None if i % 7 == 0 else i % 7, i % 3, i % 2, "r", "a") for i in range(130)]
+    df = spark.createDataFrame(rows, "incident_date date, incident_time timestamp_ntz, enterprise_code string, "
+                               "threat_code int, host_count int, success int, region string, enterprise_type string").repartition(5)
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(map(tuple, W.default_order(df).offset(100).collect()), key=lambda r: str(key(r)))
+    first = reliable_checkpoint(W.default_order(df, page=100))
+    assert sorted(map(tuple, W.default_order_after(df, first).collect()), key=lambda r: str(key(r))) == want
+    assert W.default_order_after(df.where(F.lit(False)), first.where(F.lit(False))).collect() == []
