@@ -37,13 +37,13 @@ _WIDTH = 64                     # cells of a row that are looked at; a header be
 
 
 def _threat_rows(spark: SparkSession, path: str, multi_line: bool, sequence: str | None) -> DataFrame:
-    """Rows below the header, columns found by header text; with ``_id`` (S09) and ``_title`` (banner or header row)."""
+    """Rows below the header, columns found by header text; with ``_id`` (S09) and ``_title`` (banner, header or empty row)."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(_WIDTH)])
     raw = _sequenced(spark.read.schema(schema).option("header", "false")
-                     .option("multiLine", str(multi_line).lower()).csv(path), sequence)
+                     .option("multiLine", str(multi_line).lower()).csv(path), "_row")
     key = next(iter(K.CATALOGUE_HEADERS))
     cells = F.array(*[F.trim(f"_c{i}") for i in range(_WIDTH)])
-    header = raw.where(F.array_contains(cells, key)).limit(1).select(cells.alias("h")).first()
+    header = raw.where(F.array_contains(cells, key)).select(F.struct("_row", cells.alias("h")).alias("x")).agg(F.min("x").alias("x")).first().x
     if header is None:
         raise ValueError(f"no header row with {key!r} in {path}")
     place = {normalise_header(h): i for i, h in reversed(list(enumerate(header.h))) if h}
@@ -52,19 +52,21 @@ def _threat_rows(spark: SparkSession, path: str, multi_line: bool, sequence: str
         raise ValueError(f"headers missing in {path}: {missing}")
     at = {n: f"_c{place[normalise_header(h)]}" for h, n in K.CATALOGUE_HEADERS.items()}
     filled = F.size(F.filter(F.array(*[F.trim(F.col(c)) for c in at.values()]), lambda c: c.isNotNull() & (c != "")))
+    above = F.col("_row") < F.struct(*[F.lit(x) for x in header["_row"]]).cast(raw.schema["_row"].dataType)
+    title = (F.trim(F.col(at["threat_id"])) == key) | (C.sheet_id(at["threat_id"]).isNull() & ((filled == 0) | (above & (filled == 1))))
     return raw.select(*[F.col(c).alias(n) for n, c in at.items()], C.sheet_id(at["threat_id"]).alias("_id"),
-                      ((F.trim(F.col(at["threat_id"])) == key) | (C.sheet_id(at["threat_id"]).isNull() & (filled <= 1))).alias("_title"),
-                      *([sequence] if sequence else []))
+                      title.alias("_title"), *([F.col("_row").alias(sequence)] if sequence else []))
 
 
-def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = False, sequence: str | None = None) -> DataFrame:              # S01 + S13 + P19
+def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = True, sequence: str | None = None) -> DataFrame:              # S01 + S13 + P19
     """Catalogue sheet whose real header is on the second row.
 
     Columns are found by the text of their headers, wherever they stand; a missing header is an error.
-    Ids follow S09 (``12.0`` is 12).  The banner (at most one filled cell, no id) and the header row are
-    left out wherever they land among part files; any other row without an id is an error, never
-    dropped.  Breach cells are numbers where empty means True (D8); dates are ISO or day-first.  A file
-    is split among tasks unless ``multi_line`` cells are asked for.  ``sequence`` names a column for the
+    Ids follow S09 (``12.0`` is 12).  Banners (one filled cell, no id, above the header in sheet order),
+    header rows and rows without any filled cell are left out; any other row without an id is an error,
+    never dropped.  Breach cells are numbers where empty means True (D8); dates are ISO or day-first.  Cells
+    may hold line breaks, so a file is read by one task (a folder by one for each part file); only a sheet
+    known to have none may be split with ``multi_line=False``.  ``sequence`` names a column for the
     order of rows in the sheet.
     """
     rows = _threat_rows(spark, path, multi_line, sequence).where(~F.coalesce("_title", F.lit(False)))
@@ -87,13 +89,13 @@ def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = False,
     )
 
 
-def count_rejected(spark: SparkSession, path: str) -> DataFrame:
+def count_rejected(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Rows of the catalogue sheet that are not data rows (banner, header, rows without an id)."""
-    rows = _threat_rows(spark, path, False, None)
+    rows = _threat_rows(spark, path, multi_line, None)
     return rows.agg(F.coalesce(F.sum(F.col("_id").isNull().cast("int")), F.lit(0).cast("bigint")).alias("rejected"))
 
 
-def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None = None, multi_line: bool = False,
+def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None = None, multi_line: bool = True,
                         sequence: str | None = None) -> DataFrame:  # S02
     """Incident sheet: header row of display names, day-first dates.
 

@@ -94,3 +94,18 @@ def test_versions_survive_a_failed_load_and_a_broken_marker(spark, tmp_path):
                 pass
     with pytest.raises(Exception):           # an unreadable version is never a first load
         ingest.load(spark, thr, inc, store).collect()
+
+
+def test_line_breaks_in_cells_stay_and_no_row_below_the_header_is_a_banner(spark, tmp_path):
+    notes, about = HEADERS[-1], HEADERS[2]
+    rows = [threat("7", "a", **{about: '"one\ntwo\nthree"', notes: '"first\nsecond"'}), threat("8", "b", **{notes: "n"})]
+    path = threats_sheet(tmp_path, rows)
+    got = {r.threat_id: (r.description, r.notes) for r in SH.read_threat_sheet(spark, path).collect()}
+    assert got == {7: ("one\ntwo\nthree", "first\nsecond"), 8: (None, "n")}
+    store = str(tmp_path / "store")
+    inc = incidents_sheet(tmp_path, [row("1", "5", "3", "1")], "ok.csv")
+    ingest.load(spark, path, inc, store)
+    assert {r.threat_id: r.notes for r in ingest.tables(spark, store)[0].collect()} == {7: "first\nsecond", 8: "n"}
+    stray = threats_sheet(tmp_path, [threat("7", "a"), dict.fromkeys(HEADERS, "") | {HEADERS[0]: "tail"}], name="stray.csv")
+    with pytest.raises(Exception, match="without an id"):
+        SH.read_threat_sheet(spark, stray).collect()
