@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from riskloom.llm import (bpe, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, quality, secret_scan,
-                          substring_dedup, toxicity)
+from riskloom.llm import (bpe, collocations, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, quality,
+                          resampling, secret_scan, sharding, substring_dedup, toxicity)
 from riskloom.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -60,6 +72,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_byte_bpe, op3_mix_sources, op4_line_dedup, op5_quality, op6_secret_scan, op7_exact_dedup,
-    op8_substring_dedup, op9_toxicity, op10_embedding_dedup, pipeline)}
+    op8_substring_dedup, op9_toxicity, op10_embedding_dedup, op11_sharding, op12_collocations,
+    op13_resampling, pipeline)}
 
-SQL = {"op4_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL}
+SQL = {"op4_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op11_sharding": sharding.sql(),
+       "op12_collocations": collocations.SQL, "op13_resampling": resampling.SQL}
