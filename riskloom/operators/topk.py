@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.operators.paging import sort_columns, total_order, with_position
 
 
 def top_k_by_count(df: DataFrame, key: str, k: int = K.TOP_K, drop_null: bool = True) -> DataFrame:  # W04–W07
@@ -43,43 +44,24 @@ def _page(df: DataFrame, size: int | None, number: int) -> DataFrame:
     return df if size is None else df.offset(size * number).limit(size) if number else df.limit(size)
 
 
-#: Newest first, ties by the other columns: (column, descending); Spark's order of nulls (last when descending).
+#: Newest first, ties by the other columns: (column, descending).
 DEFAULT_ORDER = (("incident_date", True), ("incident_time", True), ("enterprise_code", False), ("threat_code", False),
                  ("host_count", False), ("success", False), ("region", False), ("enterprise_type", False))
 
 
-def _ordered(reverse: bool = False) -> list[Column]:
-    return [F.desc(c) if down != reverse else F.asc(c) for c, down in DEFAULT_ORDER]
-
-
 def default_order(df: DataFrame, page: int | None = None, number: int = 0) -> DataFrame:                 # W10
-    """Newest first (date desc, time desc), ties by the other columns: in full, or one page of it."""
-    return _page(df.orderBy(*_ordered()), page, number)
+    """Newest first (date desc, time desc), ties by all other columns: in full, or one page of it."""
+    return _page(df.orderBy(*sort_columns(total_order(df, DEFAULT_ORDER))), page, number)
 
 
 def default_order_after(df: DataFrame, first: DataFrame) -> DataFrame:                                   # W10
-    """What comes after ``first``, the (checkpointed) first page of the default order of ``df``, in that order.
+    """What comes after ``first``, the first rows of the default order of ``df``, in that order.
 
-    An offset would gather all rows in one task.  Rows are compared with the page's last row, a broadcast of
-    one row; of the rows equal to it, as many are left out as the page holds.  These are counted by
-    partition, and only the counts (one row for each partition) are put in sequence.
+    An offset would gather all rows in one task; the rows are ranked over range partitions instead.
     """
-    names = [c for c, _ in DEFAULT_ORDER]
-    last = first.orderBy(*_ordered(reverse=True)).limit(1).select(F.struct(*names).alias("_last"))
-    both = df.crossJoin(F.broadcast(last))
-    later, equal = F.lit(False), F.lit(True)
-    for c, down in DEFAULT_ORDER:
-        x, y = F.col(c), F.col("_last")[c]
-        beyond = (x < y) | (x.isNull() & y.isNotNull()) if down else (x > y) | (x.isNotNull() & y.isNull())
-        later, equal = later | (equal & F.coalesce(beyond, F.lit(False))), equal & x.eqNullSafe(y)
-    on_page = first.crossJoin(F.broadcast(last)).where(equal).agg(F.count(F.lit(1)).alias("_taken"))
-    counts = both.where(equal).withColumn("_pid", F.spark_partition_id()).groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_pid"))).crossJoin(F.broadcast(on_page))
-    left = F.least(F.col("_n"), F.col("_upto") - F.col("_taken"))
-    ties = (upto.withColumn("_left", left).where("_left > 0").repartition("_pid")
-            .select(F.explode(F.sequence(F.lit(1).cast("long"), "_left")), "_row").select("_row.*"))
-    return both.where(later).select(*df.columns).unionByName(ties).orderBy(*_ordered())
+    shown = first.count()
+    ranked = with_position(df, DEFAULT_ORDER, "_position").where(F.col("_position") > shown)
+    return ranked.orderBy("_position").drop("_position")
 
 
 def order_by_column(df: DataFrame, col: str, descending: bool = False, page: int | None = None,

@@ -16,11 +16,11 @@ from riskloom.functions.wallclock import ntz_lit
 from riskloom.operators import aggregates as A
 from riskloom.operators import enrich as E
 from riskloom.operators import filters as FL
+from riskloom.operators import paging as PG
 from riskloom.operators import pivots as V
 from riskloom.operators import topk as W
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
-from riskloom.session import reliable_checkpoint
 from riskloom.sources import tables as T
 
 
@@ -341,10 +341,37 @@ def w10(spark, d):
     FROM incidents_li""", cal=False), "W10")
 def w10_full(spark, d):
     """Every page: the first, and all that comes after it."""
+    ranked = PG.with_position(T.incidents_li(spark, d), W.DEFAULT_ORDER)
+    return ranked.withColumn("later_page", F.col("position") > 100).drop("position")
+
+
+@register("w10_admin_positions", q(f"""SELECT *, row_number() OVER (ORDER BY {_ADMIN_ORDER}, incident_id) AS position
+    FROM incidents_ev""", src="incidents_ev", cal=False), "W10")
+def w10_positions(spark, d):
+    """The place of every incident in the default order, with a column that the order does not name."""
+    return PG.with_position(T.incidents_ev(spark, d), W.DEFAULT_ORDER)
+
+
+@register("w10_admin_second_page", q(f"""SELECT * FROM incidents_li ORDER BY {_ADMIN_ORDER} LIMIT 100 OFFSET 100""",
+          cal=False), "W10")
+def w10_second_page(spark, d):
+    """The second page, from a cursor behind the first one."""
     inc = T.incidents_li(spark, d)
-    first = reliable_checkpoint(W.default_order(inc, page=100))
-    return first.withColumn("later_page", F.lit(False)).unionAll(
-        W.default_order_after(inc, first).withColumn("later_page", F.lit(True)))
+    first = PG.page_after(inc, W.DEFAULT_ORDER, 100).collect()           # one page of 100 rows
+    return PG.page_after(inc, W.DEFAULT_ORDER, 100, PG.cursor_after(first))
+
+
+_HOSTS_ORDER = ("host_count DESC, incident_date, incident_time, enterprise_code, threat_code, success, region, "
+                "enterprise_type")
+
+
+@register("w11_hosts_positions", q(f"""SELECT *, row_number() OVER (ORDER BY {_HOSTS_ORDER}) AS position
+    FROM incidents_li""", cal=False), "W11")
+def w11_positions(spark, d):
+    """The place of every incident in the order by hosts."""
+    order = [("host_count", True), *((c, False) for c in ("incident_date", "incident_time", "enterprise_code", "threat_code",
+                                                          "success", "region", "enterprise_type"))]
+    return PG.with_position(T.incidents_li(spark, d), order)
 
 
 @register("w11_order_by_hosts", q("""SELECT * FROM incidents_li ORDER BY host_count DESC, incident_date,

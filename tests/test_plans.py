@@ -74,3 +74,50 @@ def test_rows_after_the_first_page_with_ties_and_nulls(spark, copies):
     first = reliable_checkpoint(W.default_order(df, page=100))
     assert sorted(map(tuple, W.default_order_after(df, first).collect()), key=lambda r: str(key(r))) == want
     assert W.default_order_after(df.where(F.lit(False)), first.where(F.lit(False))).collect() == []
+
+
+def ninth_column(spark):
+    """Rows that differ only in a column that the default order does not name, and copies of some."""
+    import datetime as dt
+    day = dt.datetime(2024, 1, 5)
+    rows = [(day.date(), day, "7", 3, 5, 1, "r", "b", i if i % 50 else None) for i in range(300)]
+    rows += [(day.date(), None if i % 2 else day, "7", 3, i % 3, 1, None, "b", 7) for i in range(200)]
+    return spark.createDataFrame(rows, "incident_date date, incident_time timestamp_ntz, enterprise_code string, "
+                                 "threat_code int, host_count int, success int, region string, enterprise_type string, "
+                                 "incident_id long").repartition(6)
+
+
+def test_rows_after_the_first_page_keep_their_other_columns(spark):
+    from collections import Counter
+
+    from riskloom.operators import topk as W
+    df = ninth_column(spark)
+    for page in (1, 100, 137, 500):
+        first = W.default_order(df, page=page)
+        both = list(map(tuple, first.collect())) + list(map(tuple, W.default_order_after(df, first).collect()))
+        assert Counter(both) == Counter(map(tuple, df.collect())) and both == list(map(tuple, W.default_order(df).collect()))
+
+
+def test_positions_over_all_rows(spark):
+    from riskloom.operators import paging as PG
+    from riskloom.operators import topk as W
+    df = ninth_column(spark)
+    out = PG.with_position(df, W.DEFAULT_ORDER).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(1, 501))
+    assert [tuple(r)[:-1] for r in out] == list(map(tuple, W.default_order(df).collect()))
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 600])
+def test_pages_by_cursor_make_up_the_whole_order(spark, size):
+    from riskloom.operators import paging as PG
+    from riskloom.operators import topk as W
+    df = ninth_column(spark).where("incident_id IS NULL OR incident_id = 7 OR incident_id < 20").coalesce(2).persist()
+    want, got, cursor = list(map(tuple, W.default_order(df).collect())), [], None
+    while len(got) < (len(want) if size > 1 else 12):
+        page = PG.page_after(df, W.DEFAULT_ORDER, size, cursor).collect()
+        assert page
+        got += map(tuple, page)
+        cursor = PG.cursor_after(page, cursor)
+    assert got == want[:len(got)]
+    assert size == 1 or PG.page_after(df, W.DEFAULT_ORDER, size, cursor).collect() == []
+    df.unpersist()
