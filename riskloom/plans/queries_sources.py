@@ -54,6 +54,35 @@ def s02(spark, d):
     return SH.read_incident_sheet(spark, path)
 
 
+_MOVED_TIMES = """SELECT enterprise_type, enterprise_code, host_count, threat_code, success, region, incident_date,
+    date_trunc('second', incident_time) AS incident_time FROM incidents_ev"""
+
+
+@register("s02_folder_of_sheets", q(_MOVED_TIMES, src="incidents_ev", cal=False), "S02", "S06", "S10", "P20")
+def s02_folder(spark, d):
+    """Two sheets in one folder, whose columns stand in other orders."""
+    path, inc = _fresh(spark, "incident-sheets"), T.incidents_ev(spark, d)
+    failed = F.col("success") == 0
+    SH.write_incident_sheet(inc.where(failed), f"{path}/a")
+    SH.write_incident_sheet(inc.where(~failed), f"{path}/b", ["Успех", "Код реализованной угрозы", "Количество хостов"])
+    return SH.read_incident_sheet(spark, f"{path}/*")
+
+
+@register("s01_folder_of_sheets", q("""SELECT threat_id, name, description, threat_source, target_object,
+    CASE WHEN threat_id % 5 = 0 THEN true ELSE confidentiality_breach END AS confidentiality_breach,
+    CASE WHEN threat_id % 5 = 0 THEN true ELSE integrity_breach END AS integrity_breach,
+    CASE WHEN threat_id % 5 = 0 THEN true ELSE availability_breach END AS availability_breach,
+    date_added, last_modified, status, notes FROM threat_catalog""", src="threat_catalog", cal=False),
+    "S01", "S13", "P19", "S06")
+def s01_folder(spark, d):
+    """Two catalogue sheets in one folder, each with its banner, whose columns stand in other orders."""
+    path, cat = _fresh(spark, "threat-sheets"), T.threat_catalog(spark, d)
+    noted = F.col("notes").isNotNull()
+    SH.write_threat_sheet(cat.where(noted), f"{path}/a")
+    SH.write_threat_sheet(cat.where(~noted), f"{path}/b", first=["Замечания", "Статус угрозы"])
+    return SH.read_threat_sheet(spark, f"{path}/*")
+
+
 @register("s05_display_headers", q("""SELECT enterprise_type AS "Тип_предприятия", enterprise_code AS "Код_предприятия",
     host_count AS "Количество_хостов", threat_code AS "Код_реализованной_угрозы", success AS "Успех",
     region AS "Регион_размещения_предприятия", incident_date AS "Дата_инцидента",

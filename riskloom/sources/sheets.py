@@ -29,39 +29,75 @@ def sheet_order() -> list[Column]:
     return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
 
 
-def _sequenced(raw: DataFrame, sequence: str | None) -> DataFrame:
-    return raw.withColumn(sequence, F.struct(*sheet_order())) if sequence else raw
+_WIDTHS = (64, 1024, 16384)     # cells of a record that are looked at, one after the other; a sheet has 16,384 at most
+_TAIL = 16                      # a header whose last cells at a width are all empty ends before it
 
 
-_WIDTH = 64                     # cells of a row that are looked at; a header beyond them counts as missing
+def _records(spark: SparkSession, path: str, multi_line: bool, width: int) -> DataFrame:
+    """(_file, _row, cells) of every record of every file; cells that a record does not have are null."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(schema).option("header", "false").option("multiLine", str(multi_line).lower()).csv(path)
+    return raw.select(F.col("_metadata.file_path").alias("_file"), F.struct(*sheet_order()).alias("_row"),
+                      F.array(*schema.fieldNames()).alias("cells"))
 
 
-def _threat_rows(spark: SparkSession, path: str, multi_line: bool, sequence: str | None) -> DataFrame:
-    """Rows below the header, columns found by header text; with ``_id`` (S09) and ``_title`` (banner, header or empty row)."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(_WIDTH)])
-    raw = _sequenced(spark.read.schema(schema).option("header", "false")
-                     .option("multiLine", str(multi_line).lower()).csv(path), "_row")
-    key = next(iter(K.CATALOGUE_HEADERS))
-    cells = F.array(*[F.trim(f"_c{i}") for i in range(_WIDTH)])
-    header = raw.where(F.array_contains(cells, key)).select(F.struct("_row", cells.alias("h")).alias("x")).agg(F.min("x").alias("x")).first().x
-    if header is None:
-        raise ValueError(f"no header row with {key!r} in {path}")
-    place = {normalise_header(h): i for i, h in reversed(list(enumerate(header.h))) if h}
-    missing = [h for h in K.CATALOGUE_HEADERS if normalise_header(h) not in place]
+def _laid_out(spark: SparkSession, path: str, multi_line: bool, headers: dict[str, str], optional: set[str]) -> DataFrame:
+    """(_row, _above, _has_<optional column>, *columns) of every record: the cells under each file's own headers, wherever they stand.
+
+    The header of a file is its first record that holds the first of ``headers``; a file without one goes on
+    with the columns of the file before it, as the parts of one exported sheet do.  One row for each file
+    passes the driver, as in Spark's own listing of the folder.
+    """
+    wanted = {normalise_header(h): name for h, name in headers.items()}
+    key = next(iter(wanted))
+    for width in _WIDTHS:
+        records = _records(spark, path, multi_line, width)
+        named = F.transform("cells", lambda c: F.replace(F.trim(c), F.lit(" "), F.lit("_")))
+        found = records.groupBy("_file").agg(F.min(F.when(F.array_contains(named, key), F.struct("_row", named.alias("h")))).alias("x"))
+        layouts, missing, goes_on, place = [], [], False, None
+        for file, x in sorted((r["_file"], r["x"]) for r in found.collect()):
+            if x is not None:
+                place = {wanted[h]: i for i, h in reversed(list(enumerate(x["h"]))) if h in wanted}
+                lacking = [h for h, n in headers.items() if n not in place and n not in optional]
+                missing += [f"headers missing in {file}: {lacking}"] if lacking else []
+                goes_on |= len(place) < len(wanted) and any(h for h in x["h"][-_TAIL:])
+            elif place is None:
+                missing.append(f"no header row with {next(iter(headers))!r} in {file}")
+                goes_on |= width < _WIDTHS[-1]
+                continue
+            layouts.append((file, None if x is None else tuple(x["_row"]), [place.get(n) for n in wanted.values()]))
+        if not goes_on:
+            break
     if missing:
-        raise ValueError(f"headers missing in {path}: {missing}")
-    at = {n: f"_c{place[normalise_header(h)]}" for h, n in K.CATALOGUE_HEADERS.items()}
-    filled = F.size(F.filter(F.array(*[F.trim(F.col(c)) for c in at.values()]), lambda c: c.isNotNull() & (c != "")))
-    above = F.col("_row") < F.struct(*[F.lit(x) for x in header["_row"]]).cast(raw.schema["_row"].dataType)
-    title = (F.trim(F.col(at["threat_id"])) == key) | (C.sheet_id(at["threat_id"]).isNull() & ((filled == 0) | (above & (filled == 1))))
-    return raw.select(*[F.col(c).alias(n) for n, c in at.items()], C.sheet_id(at["threat_id"]).alias("_id"),
-                      title.alias("_title"), *([F.col("_row").alias(sequence)] if sequence else []))
+        raise ValueError("; ".join(missing))
+    row_type = records.schema["_row"].dataType
+    at = spark.createDataFrame(layouts, T.StructType([
+        T.StructField("_sheet", T.StringType()), T.StructField("_header", row_type), T.StructField("_at", T.ArrayType(T.IntegerType()))]))
+    rows = records.join(F.broadcast(at), F.col("_file") == F.col("_sheet"))
+    return rows.select("_row", F.coalesce(F.col("_row") < F.col("_header"), F.lit(False)).alias("_above"),
+                       *[F.col("_at")[list(wanted.values()).index(n)].isNotNull().alias(f"_has_{n}") for n in sorted(optional)],
+                       *[F.get("cells", F.col("_at")[i]).alias(n) for i, n in enumerate(wanted.values())])
+
+
+def _filled(columns) -> Column:
+    return F.size(F.filter(F.array(*[F.trim(F.col(c)) for c in columns]), lambda c: c.isNotNull() & (c != "")))
+
+
+def _threat_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The records with ``_row``, ``_id`` (S09) and ``_title`` (banner, header or empty row)."""
+    raw = _laid_out(spark, path, multi_line, K.CATALOGUE_HEADERS, set())
+    number, filled = C.sheet_id("threat_id"), _filled(CATALOGUE_COLUMNS)
+    title = (F.trim(F.col("threat_id")) == next(iter(K.CATALOGUE_HEADERS))) | (
+        number.isNull() & ((filled == 0) | (F.col("_above") & (filled == 1))))
+    return raw.withColumns({"_id": number, "_title": title})
 
 
 def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = True, sequence: str | None = None) -> DataFrame:              # S01 + S13 + P19
     """Catalogue sheet whose real header is on the second row.
 
-    Columns are found by the text of their headers, wherever they stand; a missing header is an error.
+    ``path`` is a file, the folder of one exported sheet's parts, or a folder of sheets, each with banner and
+    header of its own.  Columns are found by the text of each file's headers, wherever they stand; a missing header
+    is an error.
     Ids follow S09 (``12.0`` is 12).  Banners (one filled cell, no id, above the header in sheet order),
     header rows and rows without any filled cell are left out; any other row without an id is an error,
     never dropped.  Breach cells are numbers where empty means True (D8); dates are ISO or day-first.  Cells
@@ -69,7 +105,7 @@ def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = True, s
     known to have none may be split with ``multi_line=False``.  ``sequence`` names a column for the
     order of rows in the sheet.
     """
-    rows = _threat_rows(spark, path, multi_line, sequence).where(~F.coalesce("_title", F.lit(False)))
+    rows = _threat_rows(spark, path, multi_line).where(~F.coalesce("_title", F.lit(False)))
     bad = F.raise_error(F.concat(F.lit("threat row without an id: "), F.coalesce("threat_id", F.lit("")), F.lit(" "),
                                  F.coalesce("name", F.lit("")))).cast("int")
     return rows.select(
@@ -85,13 +121,13 @@ def read_threat_sheet(spark: SparkSession, path: str, multi_line: bool = True, s
         C.parse_date("last_modified").alias("last_modified"),
         F.col("status"),
         F.when(F.trim(F.col("notes")) == "", None).otherwise(F.col("notes")).alias("notes"),
-        *([sequence] if sequence else []),
+        *([F.col("_row").alias(sequence)] if sequence else []),
     )
 
 
 def count_rejected(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Rows of the catalogue sheet that are not data rows (banner, header, rows without an id)."""
-    rows = _threat_rows(spark, path, multi_line, None)
+    rows = _threat_rows(spark, path, multi_line)
     return rows.agg(F.coalesce(F.sum(F.col("_id").isNull().cast("int")), F.lit(0).cast("bigint")).alias("rejected"))
 
 
@@ -99,20 +135,21 @@ def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None
                         sequence: str | None = None) -> DataFrame:  # S02
     """Incident sheet: header row of display names, day-first dates.
 
-    Headers are normalised (S06) and mapped to engine names; a missing time
-    column is replaced by the constant ``default_time`` (S11).  Host count and
+    Headers are normalised (S06) and mapped to engine names, file by file; in a file without
+    a time column the time is the constant ``default_time`` (S11).  Rows without any filled cell,
+    and rows of one cell above a header, are left out.  Host count and
     success default to 0 where the cell is empty, and numbers may be written as
     ``5.0`` (P20); other text in a number cell is an error; bad dates become null (S10).
     ``multi_line`` and ``sequence`` as for the threat sheet.
     """
-    raw = _sequenced(spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).csv(path), sequence)
-    mapping = {normalise_header(k): v for k, v in K.INCIDENT_SHEET_HEADERS.items()}
-    df = raw.toDF(*[normalise_header(c) for c in raw.columns])
-    df = df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
-    if "incident_time" in df.columns:
-        t = C.parse_dayfirst("incident_time")
-    else:
-        t = F.lit(default_time or "2024-08-12 11:00:00").cast("timestamp_ntz")
+    names = list(K.INCIDENT_SHEET_HEADERS.values())
+    headers = {"Код предприятия": "enterprise_code"} | K.INCIDENT_SHEET_HEADERS
+    raw = _laid_out(spark, path, multi_line, headers, {"incident_time"})
+    own = F.replace(F.trim("enterprise_code"), F.lit(" "), F.lit("_")) == normalise_header(next(iter(headers)))
+    filled = _filled(names)
+    df = raw.where(~(F.coalesce(own, F.lit(False)) | (filled == 0) | (F.col("_above") & (filled == 1))))
+    constant = F.lit(default_time or "2024-08-12 11:00:00").cast("timestamp_ntz")
+    t = F.when(F.col("_has_incident_time"), C.parse_dayfirst("incident_time")).otherwise(constant)
     return df.select(
         F.col("enterprise_type"),
         F.col("enterprise_code"),
@@ -122,19 +159,19 @@ def read_incident_sheet(spark: SparkSession, path: str, default_time: str | None
         F.col("region"),
         C.parse_dayfirst("incident_date").cast("date").alias("incident_date"),
         t.alias("incident_time"),
-        *([sequence] if sequence else []),
+        *([F.col("_row").alias(sequence)] if sequence else []),
     )
 
 
-def write_threat_sheet(catalog: DataFrame, path: str, banner: str = "Перечень угроз") -> None:
-    """Export a catalogue in the sheet layout: banner row, header row, data rows.
+def write_threat_sheet(catalog: DataFrame, path: str, banner: str = "Перечень угроз", first: list[str] = ()) -> None:
+    """Export a catalogue in the sheet layout: banner row, header row, data rows; the columns headed ``first`` come first.
 
     Breach flags are written as 1/0 and missing (empty) when the part size is a
     multiple of 5, which exercises the empty → True rule on the way back.
     """
     spark = catalog.sparkSession
-    headers = list(K.CATALOGUE_HEADERS.keys())
-    lead = spark.createDataFrame([[banner] + [""] * (len(headers) - 1), headers], CATALOGUE_COLUMNS)
+    headers = [*first, *(h for h in K.CATALOGUE_HEADERS if h not in first)]
+    lead = spark.createDataFrame([[banner] + [""] * (len(headers) - 1), headers], [K.CATALOGUE_HEADERS[h] for h in headers])
     def flag(c):
         return F.when(F.col("threat_id") % 5 == 0, F.lit("")).otherwise(F.col(c).cast("int").cast("string"))
     body = catalog.select(
@@ -145,11 +182,12 @@ def write_threat_sheet(catalog: DataFrame, path: str, banner: str = "Переч
         F.col("date_added").cast("string").alias("date_added"),
         fmt_day_first("last_modified", with_time=False).alias("last_modified"),
         "status", F.coalesce("notes", F.lit("")).alias("notes"))
-    lead.unionByName(body).write.mode("overwrite").options(**_KEEP_SPACES).option("header", "false").csv(path)
+    # The header is in the first part only: the readers carry it on to the parts after it.
+    lead.coalesce(1).unionByName(body).write.mode("overwrite").options(**_KEEP_SPACES).option("header", "false").csv(path)
 
 
-def write_incident_sheet(incidents: DataFrame, path: str) -> None:
-    """Export incidents in the sheet layout with display headers and day-first times."""
+def write_incident_sheet(incidents: DataFrame, path: str, first: list[str] = ()) -> None:
+    """Export incidents in the sheet layout with display headers and day-first times; the columns headed ``first`` come first."""
     cols = {
         "enterprise_type": F.col("enterprise_type"),
         "enterprise_code": F.col("enterprise_code"),
@@ -161,5 +199,6 @@ def write_incident_sheet(incidents: DataFrame, path: str) -> None:
         "incident_time": fmt_day_first("incident_time", seconds=True),
     }
     inv = {v: k for k, v in K.INCIDENT_SHEET_HEADERS.items()}
-    incidents.select(*[c.alias(inv[n]) for n, c in cols.items()]) \
+    cells = {inv[n]: c.alias(inv[n]) for n, c in cols.items()}
+    incidents.select(*[cells[h] for h in [*first, *(h for h in cells if h not in first)]]) \
         .write.mode("overwrite").options(**_KEEP_SPACES).option("header", "true").csv(path)

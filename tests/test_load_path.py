@@ -109,3 +109,38 @@ def test_line_breaks_in_cells_stay_and_no_row_below_the_header_is_a_banner(spark
     stray = threats_sheet(tmp_path, [threat("7", "a"), dict.fromkeys(HEADERS, "") | {HEADERS[0]: "tail"}], name="stray.csv")
     with pytest.raises(Exception, match="without an id"):
         SH.read_threat_sheet(spark, stray).collect()
+
+
+def test_folder_of_sheets_with_other_column_orders(spark, tmp_path):
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    threats_sheet(folder, [threat("7", "a"), threat("9", "late")], name="1.csv")
+    threats_sheet(folder, [threat("12.0", "b", **{HEADERS[-1]: "n"})], ["Лишний", *reversed(HEADERS)], name="2.csv")
+    sheet(folder, "3.csv", [["x" if h == "Лишний" else threat("13", "goes on").get(h, "x") for h in ["Лишний", *reversed(HEADERS)]]])
+    assert {(r.threat_id, r.name) for r in SH.read_threat_sheet(spark, str(folder)).collect()} == {
+        (7, "a"), (9, "late"), (12, "b"), (13, "goes on")}
+    assert SH.count_rejected(spark, str(folder)).first().rejected == 4
+    sheet(folder, "0.csv", [["1", "no header before it"]])
+    with pytest.raises(ValueError, match="no header row"):
+        SH.read_threat_sheet(spark, str(folder))
+
+
+def test_folder_of_incident_sheets(spark, tmp_path):
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    incidents_sheet(folder, [row("1", "9", "3", "1")], "1.csv")
+    back = list(reversed(INCIDENT))
+    sheet(folder, "2.csv", [back, list(reversed(row("2", "8", "4", "0")))])
+    sheet(folder, "3.csv", [["Итог"] + [""] * 6, back[1:], list(reversed(row("3", "7", "5", "1")))[1:], [""] * 7])
+    got = {r.enterprise_code: (r.host_count, r.threat_code, r.success, str(r.incident_time)) for r in
+           SH.read_incident_sheet(spark, str(folder), default_time="2020-01-01 00:00:00").collect()}
+    assert got == {"1": (9, 3, 1, "2024-08-12 11:00:00"), "2": (8, 4, 0, "2024-08-12 11:00:00"), "3": (7, 5, 1, "2020-01-01 00:00:00")}
+    sheet(folder, "4.csv", [INCIDENT[:4], ["T", "4", "1", "1"]])
+    with pytest.raises(ValueError, match="headers missing"):
+        SH.read_incident_sheet(spark, str(folder))
+
+
+def test_headers_beyond_the_first_cells_are_found(spark, tmp_path):
+    order = [f"col{i}" for i in range(90)] + HEADERS
+    path = threats_sheet(tmp_path, [threat("7", "a", **{HEADERS[-1]: "n"})], order, "wide.csv")
+    assert [(r.threat_id, r.name, r.notes) for r in SH.read_threat_sheet(spark, path).collect()] == [(7, "a", "n")]
