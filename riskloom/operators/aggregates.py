@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.quantiles import exact_quantile  # noqa: F401  (A18)
+
 from riskloom import constants as K
 
 
@@ -104,12 +106,6 @@ def class_balance(df: DataFrame, label: str = "success") -> DataFrame:
     ).withColumn("imbalance_ratio", F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos")))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, by: str | None = None) -> DataFrame:   # A18
-    """Exact quantile with linear interpolation (pandas' default)."""
-    e = F.percentile(F.col(col).cast("double"), F.lit(q)).alias("quantile")
-    return df.groupBy(by).agg(e) if by else df.agg(e)
-
-
 def mean_std(df: DataFrame, cols) -> DataFrame:                                    # A19
     """One row: ``<c>_mean`` and population ``<c>_std`` for every column."""
     aggs = []
