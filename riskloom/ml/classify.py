@@ -1,17 +1,14 @@
-"""Classifiers: attack success (binary boosted trees) and threat type (multiclass forest).
+"""Classifiers: attack success (binary) and threat type (softmax), both boosted trees (``ml.boosting``).
 
-M10 (explicit feature list), M14/M17 (GBT baseline and on selected features),
-M15 (importances), M20–M22 (top-10 threats, forest baseline and balanced),
-M23 (champion), M24 (probabilities).  Trees are fitted by ``pyspark.ml``; the
-gradient-boosting library of the reference, with its L1/L2 leaf penalties, is
-not available, so the closest Spark parameters are used.
+M10 (explicit feature list), M14/M17 (baseline and on selected features),
+M15 (importances), M20–M22 (top-10 threats, baseline and balanced with
+stronger leaf penalties), M23 (champion), M24 (probabilities).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions.calendar import CYCLIC_COLUMNS
+from riskloom.ml import boosting as BT
 from riskloom.ml import encode as EN
 from riskloom.ml import metrics as MT
 from riskloom.ml.split import balanced_weight, positive_weight, stratified_split
@@ -31,12 +29,10 @@ BASE_NUMERIC = ["enterprise_code_num", "host_count", "is_weekend", "night_attack
                 "region_freq", "industry_freq", "threat_freq", *CYCLIC_COLUMNS]
 LEAKY = ("threat_freq",)
 
-# Reference boosting parameters mapped onto Spark's GBT.
-SUCCESS_GBT = dict(maxIter=300, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8")
-# Reference multiclass parameters mapped onto a random forest.
-THREAT_BASELINE = dict(numTrees=200, maxDepth=6, subsamplingRate=0.9, featureSubsetStrategy="0.9")
-THREAT_IMPROVED = dict(numTrees=300, maxDepth=5, subsamplingRate=0.7, featureSubsetStrategy="0.7",
-                       minInstancesPerNode=3)
+# The boosting parameters (M14, M17; M21; M22).
+SUCCESS = BT.Boosting(rounds=300, step=0.05, depth=5, rows=0.8, features=0.8, l1=0.1, l2=1.0)
+THREAT_BASELINE = BT.Boosting(rounds=200, step=0.1, depth=6, rows=0.9, features=0.9)
+THREAT_IMPROVED = BT.Boosting(rounds=300, step=0.05, depth=5, rows=0.7, features=0.7, l1=1.0, l2=2.0, least_child=3.0)
 
 
 def model_frame(features: DataFrame, levels: dict[str, list[str]] | None = None):
@@ -60,8 +56,8 @@ def importances(spark: SparkSession, model, cols) -> DataFrame:          # M15
 
 @dataclass
 class SuccessResult:
-    baseline: GBTClassificationModel
-    final: GBTClassificationModel
+    baseline: BT.BoostedTrees
+    final: BT.BoostedTrees
     features: list[str]
     selected: list[str]
     acc_baseline: float
@@ -72,26 +68,22 @@ class SuccessResult:
     extra: dict = field(default_factory=dict)
 
 
-def _gbt(params: dict, seed: int = K.SPLIT_SEED, **over) -> GBTClassifier:
-    p = dict(params)
-    p.update(over)
-    return GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", seed=seed, **p)
-
-
-def train_success(df: DataFrame, features: list[str], id_cols, params: dict | None = None) -> SuccessResult:  # M11–M18
+def train_success(df: DataFrame, features: list[str], id_cols, params: BT.Boosting = SUCCESS) -> SuccessResult:  # M11–M18
     spark = df.sparkSession
-    params = params or SUCCESS_GBT
     data = stratified_split(df.withColumn("label", F.col("success").cast("double")), "success", id_cols)
     data = checkpoint_spread(data)              # cut lineage: every fit below re-reads this
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     train, ratio = positive_weight(train, "success")
-    base = _gbt(params).fit(assemble(train, features))
-    pred_b = base.transform(assemble(test, features))
-    acc_b = MT.accuracy(pred_b).first()[0]
+
+    def fit(columns):
+        return BT.fit(assemble(train, columns), "label", id_cols, params, weight="weight", seed=K.SPLIT_SEED)
+
+    base = fit(features)
+    acc_b = MT.accuracy(base.transform(assemble(test, features))).first()[0]
     imp = importances(spark, base, features)
     selected = [r["feature"] for r in MT.select_above_quantile(imp, K.IMPORTANCE_QUANTILE).collect()]
     selected = [f for f in features if f in set(selected)]
-    final = _gbt(params).fit(assemble(train, selected))
+    final = fit(selected)
     pred_f = final.transform(assemble(test, selected))
     acc_f = MT.accuracy(pred_f).first()[0]
     imp_final = importances(spark, final, selected)
@@ -118,21 +110,20 @@ def threat_subset(df: DataFrame, k: int = K.TOP_K):                       # M20
     return sub.join(F.broadcast(classes), "threat_code"), classes       # ≤ k rows
 
 
-def train_threat(df: DataFrame, features: list[str], id_cols, k: int = K.TOP_K,
-                 baseline_params: dict | None = None, improved_params: dict | None = None) -> ThreatResult:  # M20–M25
+def train_threat(df: DataFrame, features: list[str], id_cols, k: int = K.TOP_K, baseline: BT.Boosting = THREAT_BASELINE,
+                 improved: BT.Boosting = THREAT_IMPROVED) -> ThreatResult:  # M20–M25
     sub, classes = threat_subset(df, k)
     data = stratified_split(sub.withColumn("label", F.col("class_code").cast("double")), "class_code", id_cols)
     data = checkpoint_spread(assemble(data, features))
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    rf_b = RandomForestClassifier(labelCol="label", featuresCol="features", seed=K.SPLIT_SEED,
-                                  **(baseline_params or THREAT_BASELINE)).fit(train)
-    acc_b = float(MT.accuracy(rf_b.transform(test)).first()[0])
+    n = max(2, classes.count())                                          # at most k
+    model_b = BT.fit(train, "label", id_cols, baseline, n, seed=K.SPLIT_SEED)
+    acc_b = float(MT.accuracy(model_b.transform(test)).first()[0])
     wtrain = balanced_weight(train, "class_code")                        # M13
-    rf_e = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
-                                  seed=K.SPLIT_SEED, **(improved_params or THREAT_IMPROVED)).fit(wtrain)
-    acc_e = float(MT.accuracy(rf_e.transform(test)).first()[0])
+    model_e = BT.fit(wtrain, "label", id_cols, improved, n, weight="weight", seed=K.SPLIT_SEED)
+    acc_e = float(MT.accuracy(model_e.transform(test)).first()[0])
     choice = MT.champion(acc_e, acc_b)                                    # M23
-    model = rf_b if choice == "baseline" else rf_e
+    model = model_b if choice == "baseline" else model_e
     scored = model.transform(test).withColumn("probs", vector_to_array("probability"))   # M24
     top3 = float(MT.top_k_accuracy(scored, 3).first()[0])                # M25
     return ThreatResult(model, choice, acc_b, max(acc_e, acc_b) if choice == "baseline" else acc_e,

@@ -8,12 +8,13 @@ checkpoint, so lineage stays short and a lost executor recomputes from files.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.ml import boosting as BT
 from riskloom.ml import classify as CF
 from riskloom.ml import cluster as CL
 from riskloom.ml.encode import PopulationScaler
@@ -30,15 +31,14 @@ class Profile:
     ks: tuple = K.K_RANGE
     seeds: tuple = CL.DEFAULT_SEEDS
     kmeans_iter: int = 300
-    gbt: dict = field(default_factory=lambda: dict(CF.SUCCESS_GBT))
-    rf_baseline: dict = field(default_factory=lambda: dict(CF.THREAT_BASELINE))
-    rf_improved: dict = field(default_factory=lambda: dict(CF.THREAT_IMPROVED))
+    success: BT.Boosting = CF.SUCCESS
+    threat_baseline: BT.Boosting = CF.THREAT_BASELINE
+    threat_improved: BT.Boosting = CF.THREAT_IMPROVED
 
 
 REFERENCE = Profile()
-CHECK = Profile(name="check", seeds=(42,), kmeans_iter=20, gbt=dict(CF.SUCCESS_GBT, maxIter=20),
-                rf_baseline=dict(CF.THREAT_BASELINE, numTrees=40),
-                rf_improved=dict(CF.THREAT_IMPROVED, numTrees=40))
+CHECK = Profile(name="check", seeds=(42,), kmeans_iter=20, success=replace(CF.SUCCESS, rounds=20),
+                threat_baseline=replace(CF.THREAT_BASELINE, rounds=20), threat_improved=replace(CF.THREAT_IMPROVED, rounds=20))
 
 # Rows of incidents_li have no id; all columns together identify a row up to exact copies.
 LI_ID_COLS = ["enterprise_code", "incident_time", "threat_code", "host_count", "success", "region",
@@ -74,8 +74,8 @@ def run_analysis(incidents: DataFrame, threats: DataFrame, profile: Profile = RE
     with_pca, _, signs = CL.pca2(clustered)
     frame = checkpoint_spread(with_pca.drop("features"))
     mf, cols, levels = CF.model_frame(frame)
-    success = CF.train_success(mf, cols, id_cols, profile.gbt)
-    threat = CF.train_threat(mf, cols, id_cols, K.TOP_K, profile.rf_baseline, profile.rf_improved)
+    success = CF.train_success(mf, cols, id_cols, profile.success)
+    threat = CF.train_threat(mf, cols, id_cols, K.TOP_K, profile.threat_baseline, profile.threat_improved)
     return Analysis(frame, vocabs, scaler, sw, best_k, km, signs, levels, cols, success, threat)
 
 
