@@ -19,6 +19,7 @@ from riskloom.plans.sqltext import q
 from riskloom.sources import tables as T
 from riskloom.streaming import alerts as AL
 from riskloom.streaming import jobs as J
+from riskloom.streaming import latch as LT
 
 CHUNKS = 4
 
@@ -74,8 +75,27 @@ def t02(spark, d):
 @register("t02_alert_latch_stream", _LATCH_SQL, "T02", "S17", "S16")
 def t02_stream(spark, d):
     src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "alerts-sink"), J.fresh(spark, "alerts-ckpt")
-    J.replay(T.table(spark, d, "events"), src, lambda: J.run_to_sink(
-        AL.latch_alerts_stream(J.incident_stream(spark, src, d)), sink, ck), chunks=CHUNKS)
+    state = J.fresh(spark, "alerts-state")
+    J.replay(T.table(spark, d, "events"), src, lambda: LT.run(J.incident_stream(spark, src, d), sink, state, ck), chunks=CHUNKS)
+    LT.flush(spark, sink, state)
+    return J.read_sink(spark, sink).drop("batch_id")
+
+
+@register("t02_alert_latch_one_region", _LATCH_SQL.replace("SELECT region, incident_time AS t", "SELECT 'all' AS region, incident_time AS t"),
+          "T02", "S17", "S16")
+def t02_one_region(spark, d):
+    """The stream with all events in one region, each replay step in two halves of which the later comes first."""
+    src, sink, ck = J.fresh(spark, "events-src"), J.fresh(spark, "alerts-sink"), J.fresh(spark, "alerts-ckpt")
+    state, events = J.fresh(spark, "alerts-state"), T.table(spark, d, "events")
+    whole = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    span = (whole["hi"] - whole["lo"]).total_seconds() if whole["lo"] else 0
+    # Steps 2, 1, 4, 3 of four: out of order by up to half the whole span, which the delay covers.
+    step = F.floor(F.timestamp_diff("MICROSECOND", ntz_lit(whole["lo"]), F.col("ts").cast("timestamp_ntz"))
+                   * F.lit(4) / F.lit(span * 1_000_000 + 1)) if span else F.lit(0)
+    for i in (1, 0, 3, 2):
+        events.where(step == i).write.mode("append").parquet(src)
+        LT.run(J.incident_stream(spark, src, d).withColumn("region", F.lit("all")), sink, state, ck, delay_seconds=int(span / 2) + 1)
+    LT.flush(spark, sink, state)
     return J.read_sink(spark, sink).drop("batch_id")
 
 

@@ -4,21 +4,22 @@ Latch rule (D21): per key (region), the first event raises an alert; a later
 event raises a new alert iff its time is at least ``last_alert + 300 s``.
 
 Batch twin without a per-key task.  A key may hold a third of all rows, so the
-events of one key are never processed in one group.  Instead:
-
-1. per (key, bucket) group, a bucket being a day (an hour on busy days) — the
-   alert chain inside a bucket depends only on the time of its first alert,
-   which is one of the events of the bucket's first five minutes (or none).  For every such candidate the chain is
-   followed with next-event pointers (``searchsorted``) and the candidate's
-   last alert recorded; runs of candidates with the same last alert are
-   merged into one row (entry-threshold interval → last alert);
-2. per key — the compressed tables are resolved bucket after bucket (work
-   grows with the number of buckets and of distinct chain ends, which chains
-   that merge keep small; it does not grow with all events of the key);
-3. per (key, bucket) — with the resolved entry threshold, the bucket's alerts
-   are marked.
-
-Stream: ``applyInPandasWithState`` keyed by region; the state is the last
+events of one key are never processed in one group.  Events at one instant are
+first reduced to the smallest id.  Then:
+
+1. per (key, bucket) group, a bucket being a day, an hour or one latch window, whichever
+   keeps the group small — the alert chain inside a bucket depends only on the time of its
+   first alert, which is one of the events of the bucket's first five minutes (or none).  For
+   every such candidate the chain is followed with next-event pointers (``searchsorted``) and the
+   candidate's last alert recorded; runs of candidates with the same last alert are merged into
+   one row.  The result is a map from the earliest time an alert may be raised to the last alert;
+2. these maps compose: the maps of neighbouring buckets are combined into maps of an hour, a day, 16
+   days and so on, a task holding the few children of one span; on the way back down each span hands
+   its children the time from which they may raise alerts;
+3. per (key, bucket) — with that time, the bucket's alerts are marked.
+
+The stream in ``streaming.latch`` runs this on each micro-batch.  The low-latency form here
+is ``applyInPandasWithState`` keyed by region, for streams of few events a region (one task sorts them); the state is the last
 alert time.  An event-time timeout drops a key's state once the watermark is
 300 s past its last alert, when the state can no longer suppress anything.
 Rule for out-of-order input across micro-batches: an event earlier than
@@ -38,6 +39,7 @@ from riskloom import constants as K
 from riskloom.functions.text import alert_text
 from riskloom.operators.filters import recent
 from riskloom.operators.joins import bounded_broadcast
+from riskloom.session import reliable_checkpoint
 
 MICROS = 1_000_000
 NO_ALERT = np.iinfo(np.int64).max
@@ -119,29 +121,80 @@ def _phase1(latch_us: int):
     return fn
 
 
-def _phase2(latch_us: int):
+_NONE = np.iinfo(np.int64).min            # "no alert" in arrays of last alerts
+
+
+def _maps(pdf: pd.DataFrame):
+    """(start, his, lasts) of the buckets of a group, in order of time."""
+    pdf = pdf.sort_values(["bucket", "hi"])
+    bucket, his = pdf["bucket"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64)
+    lasts = pdf["last"].astype("Int64").fillna(_NONE).to_numpy(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[i]), his[i:j], lasts[i:j]
+
+
+def _after(lasts: np.ndarray, start: int, his: np.ndarray, own: np.ndarray, latch_us: int) -> np.ndarray:
+    """The last alerts behind one more bucket, for the last alerts before it."""
+    at = np.searchsorted(his, np.where(lasts == _NONE, start, np.maximum(start, lasts + latch_us)), "left")
+    found = np.where(at < len(his), own[np.minimum(at, len(his) - 1)], _NONE)
+    return np.where(found == _NONE, lasts, found)
+
+
+def _compose(latch_us: int):
+    """One map for all buckets of a span."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        maps = _maps(pdf)
+        _, his, lasts = next(maps)
+        for start, h, own in maps:
+            lasts = _after(lasts, start, h, own, latch_us)
+            keep = np.r_[lasts[1:] != lasts[:-1], True]
+            his, lasts = his[keep], lasts[keep]
+        last = pd.array([None if v == _NONE else int(v) for v in lasts], dtype="Int64")
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "bucket": pdf["parent"].iloc[0], "hi": his, "last": last})
+    return fn
+
+
+def _enter(latch_us: int):
+    """The time from which each bucket of a span may raise alerts; ``th`` is that of the span."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].iloc[0]
-        pdf = pdf.sort_values(["bucket", "hi"])
-        out_b, out_th = [], []
-        prev = None
-        for b, g in pdf.groupby("bucket", sort=True):
-            start = int(b)
-            th = start if prev is None else max(start, prev + latch_us)
-            his = g["hi"].to_numpy(dtype=np.int64)
-            i = int(np.searchsorted(his, th, "left"))
-            last = g["last"].iloc[i] if i < len(his) else None
-            out_b.append(int(b))
-            out_th.append(th)
-            if last is not None and not pd.isna(last):
-                prev = int(last)
-        return pd.DataFrame({"key": key, "bucket": out_b, "th": out_th})
+        th, last, out = int(pdf["th"].iloc[0]), np.array([_NONE]), []
+        for start, his, own in _maps(pdf):
+            entry = max(start, th if last[0] == _NONE else int(last[0]) + latch_us)
+            out.append((start, entry))
+            at = int(np.searchsorted(his, entry, "left"))
+            if at < len(his) and own[at] != _NONE:
+                last = own[at:at + 1]
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "bucket": [b for b, _ in out], "th": [t for _, t in out]})
     return fn
 
 
+_MAP = "key string, bucket bigint, hi bigint, last bigint"
+_ENTRY = "key string, bucket bigint, th bigint"
+_SPANS = tuple(h * 3_600 * MICROS for h in (1, 24, 24 * 16, 24 * 256, 24 * 4096, 24 * 65536))
+
+
+def _entries(maps: DataFrame, latch_us: int, leaf: int) -> DataFrame:
+    """(key, bucket, th) for the buckets of ``maps``: up the tree of spans, and down again."""
+    low, high = maps.agg(F.min("bucket"), F.max("bucket")).first()
+
+    def within(level: DataFrame, span: int) -> DataFrame:
+        return level.withColumn("parent", (F.floor(F.col("bucket") / F.lit(span)) * F.lit(span)).cast("bigint"))
+
+    spans = [s for i, s in enumerate(_SPANS) if s > leaf and (i == 0 or _SPANS[i - 1] <= (high or 0) - (low or 0))]
+    levels = [maps]
+    for span in spans:
+        levels.append(reliable_checkpoint(within(levels[-1], span).groupBy("key", "parent").applyInPandas(_compose(latch_us), _MAP)))
+    entry = levels[-1].withColumn("th", F.lit(_NONE)).groupBy("key").applyInPandas(_enter(latch_us), _ENTRY)  # a few spans a key
+    for span, level in zip(reversed(spans), reversed(levels[:-1]), strict=True):
+        above = entry.withColumnRenamed("bucket", "parent")
+        entry = within(level, span).join(above, ["key", "parent"]).groupBy("key", "parent").applyInPandas(_enter(latch_us), _ENTRY)
+    return entry
+
+
 def _phase3(latch_us: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "incident_id"], kind="stable")
+        pdf = pdf.sort_values("us")
         T = pdf["us"].to_numpy(dtype=np.int64)
         m = len(T)
         nxt = np.searchsorted(T, T + latch_us, "left")
@@ -158,30 +211,32 @@ def latch_alerts(df: DataFrame, key: str = "region", latch_seconds: int = K.ALER
                  max_group_rows: int = 2_000_000) -> DataFrame:
     """Alerts (key, alert_time, incident_id, enterprise_type, alert_text) by the latch rule.
 
-    Buckets are one day wide, or one hour wide on a (key, day) with more than
-    ``max_group_rows`` events, chosen from a (key, day) count table; both
-    widths are multiples of the latch window, which the chain argument needs.
+    Buckets are one day wide; where a (key, day) has more than ``max_group_rows`` instants with events they are
+    one hour wide, and where it has more than 24 times as many, one latch window.  All widths are
+    multiples of the window, which the chain argument needs.
     """
     L = latch_seconds * MICROS
     day, hour = 86_400 * MICROS, 3_600 * MICROS
     if hour % L:
         raise ValueError("the latch window must divide one hour")
+    at_once = F.min(F.struct("incident_id", "enterprise_type")).alias("_first")
     ev = (df.where(F.col("incident_time").isNotNull())
-            .select(F.col(key).alias("key"), to_micros("incident_time").alias("us"), "incident_id", "enterprise_type")
+            .groupBy(F.col(key).alias("key"), to_micros("incident_time").alias("us")).agg(at_once)
+            .select("key", "us", "_first.incident_id", "_first.enterprise_type")
             .withColumn("day", F.floor(F.col("us") / F.lit(day)).cast("bigint")))
-    widths = (ev.groupBy("key", "day").agg(F.count(F.lit(1)).alias("_n"))
-                .select("key", "day", F.when(F.col("_n") > max_group_rows, F.lit(hour)).otherwise(F.lit(day))
-                        .alias("_w")))
+    n = F.col("_n")
+    widths = ev.groupBy("key", "day").agg(F.count(F.lit(1)).alias("_n")).select(
+        "key", "day", F.when(n > 24 * max_group_rows, F.lit(L)).when(n > max_group_rows, F.lit(hour)).otherwise(F.lit(day)).alias("_w"))
     # An explicit partition count: adaptive execution would coalesce this small-looking
     # shuffle into very few tasks, but the grouped phases below are compute-heavy.  Both
     # grouped phases reuse this one hash partitioning on (key, bucket).
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    widths = reliable_checkpoint(widths)
     ev = ev.join(bounded_broadcast(widths), ["key", "day"]) \
            .withColumn("bucket", (F.floor(F.col("us") / F.col("_w")) * F.col("_w")).cast("bigint")) \
            .drop("day", "_w").repartition(parts, "key", "bucket")
-    tables = ev.select("key", "bucket", "us").groupBy("key", "bucket").applyInPandas(
-        _phase1(L), "key string, bucket bigint, hi bigint, last bigint")
-    entry = tables.groupBy("key").applyInPandas(_phase2(L), "key string, bucket bigint, th bigint")
+    tables = reliable_checkpoint(ev.select("key", "bucket", "us").groupBy("key", "bucket").applyInPandas(_phase1(L), _MAP))
+    entry = _entries(tables, L, widths.agg(F.min("_w")).first()[0] or day)
     marked = ev.join(entry, ["key", "bucket"]).groupBy("key", "bucket").applyInPandas(
         _phase3(L), "key string, us bigint, incident_id bigint, enterprise_type string")
     return marked.select(F.col("key").alias(key), from_micros("us").alias("alert_time"), "incident_id",
