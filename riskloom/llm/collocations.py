@@ -31,7 +31,6 @@ from riskloom.llm.common import shuffled, text_or_empty, written
 from riskloom.llm.exact_dedup import ascii_lower
 
 PIECE_END = r"[.,;:!?\x0A-\x0D]"
-PIECE_WORD = r"[^\x20\x09]+"
 LONGEST = 3
 SALTS = 32
 
@@ -51,19 +50,24 @@ def last(gram: Column, n: int) -> Column:
 def grams(docs: DataFrame) -> DataFrame:
     """lang, gram, weight: the longest gram at each position (piece ends: shorter ones), counted."""
     pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                         F.explode(F.split(ascii_lower(text_or_empty()), PIECE_END)).alias("piece")).where("piece <> ''")
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(PIECE_WORD), F.lit(0)).alias("words"))
-    starts = F.transform("words", lambda _, i: F.concat_ws(" ", F.slice("words", i + 1, F.lit(LONGEST))))
-    return words.select("lang", F.explode(starts).alias("gram")).groupBy("lang", "gram").agg(
-        F.count(F.lit(1)).alias("weight"))
+                         F.explode(F.split(F.translate(ascii_lower(text_or_empty()), "\t", " "), PIECE_END)).alias("piece"))
+    words = pieces.where("piece <> ''").select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("words"))
+    at = words.select("lang", "words", F.posexplode("words").alias("i", "word"))
+    gram = F.concat_ws(" ", "word", *[F.get("words", F.col("i") + k) for k in range(1, LONGEST)])  # nulls beyond the end are left out
+    return at.select("lang", gram.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def flows(edges: DataFrame) -> DataFrame:
-    """lang, gram, n_words, weight of all nodes (two words) and words, from the flow along the edges."""
-    shorter = F.when(words_in(F.col("gram")) >= 2, F.array(first(F.col("gram"), 1), first(F.col("gram"), 2))).otherwise(
-        F.array(F.col("gram")))
-    return edges.select("lang", F.explode(shorter).alias("gram"), "weight").groupBy("lang", "gram").agg(
-        F.sum("weight").alias("weight")).withColumn("n_words", words_in(F.col("gram")))
+def flows(edges: DataFrame, min_count: int = 1) -> DataFrame:
+    """lang, gram, n_words, weight of nodes (two words) and words, of at least ``min_count``, from the flow along the edges.
+
+    A node's flow is summed from the edges, a word's from the nodes that start with it; pieces that end add their own.
+    """
+    nodes = edges.select("lang", first(F.col("gram"), 2).alias("gram"), "weight").groupBy("lang", "gram").agg(
+        F.sum("weight").alias("weight"))
+    word, two = first(F.col("gram"), 1), F.instr("gram", " ") > 0
+    both = F.when(two & (F.col("weight") >= min_count), F.array(word, F.col("gram"))).otherwise(F.array(word))
+    return nodes.select("lang", F.explode(both).alias("gram"), "weight").groupBy("lang", "gram").agg(
+        F.sum("weight").alias("weight")).where(F.col("weight") >= min_count).withColumn("n_words", words_in(F.col("gram")))
 
 
 def ways(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def best(rows: DataFrame, top: int) -> DataFrame:
 def word_graph(docs: DataFrame, min_count: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts of nodes and words, edges, number of words of each language); counts and edges of at least ``min_count``."""
     every = written(grams(docs), "grams")
-    counts = written(flows(every).where(F.col("weight") >= min_count), "gram-flows")
+    counts = written(flows(every, min_count), "gram-flows")
     edges = written(every.where((F.col("weight") >= min_count) & (words_in(F.col("gram")) == LONGEST)), "edges")
     total = every.groupBy("lang").agg(F.sum("weight").alias("n"))  # one gram starts at every word
     return counts, edges, written(total, "language-words")
