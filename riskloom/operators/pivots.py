@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions.calendar import weekday_name
-from riskloom.operators.topk import top_k_by_count
+from riskloom.operators.filters import in_top_k
+from riskloom.session import reliable_checkpoint
 
 HOURS = list(range(24))
 MONTHS = list(range(1, 13))
@@ -48,26 +49,23 @@ def weekday_hour_counts(df: DataFrame) -> DataFrame:
     return p.withColumn("day", F.coalesce(weekday_name("dow"), F.col("dow").cast("string")))
 
 
-def industry_threat_matrix(df: DataFrame, k: int = K.TOP_K) -> tuple[DataFrame, list[int]]:   # V03
-    """Crosstab of the k commonest industries × the k commonest threat codes.
+def industry_threat_long(df: DataFrame, k: int = K.TOP_K) -> DataFrame:
+    """V03 in long form: (enterprise_type, threat_code, n) over the top-k × top-k cells present.
 
-    The two top-k frames have at most k rows each, so they are broadcast for
-    the semi joins (F11/J02).  The k codes become the pivot values; they are
-    the only data brought to the driver (k integers).
+    The incidents are read once, to count the pairs; both rankings and the cells come from the counted pairs.
     """
-    top_codes = top_k_by_count(df, "threat_code", k)
-    top_inds = top_k_by_count(df, "enterprise_type", k)
-    subset = (df.join(F.broadcast(top_codes.select("threat_code")), "threat_code", "left_semi")
-                .join(F.broadcast(top_inds.select("enterprise_type")), "enterprise_type", "left_semi"))
-    codes = sorted(r["threat_code"] for r in top_codes.collect())
-    p = subset.groupBy("enterprise_type").pivot("threat_code", codes).agg(F.count(F.lit(1)))
-    return p.na.fill(0, [str(c) for c in codes]), codes
+    pairs = reliable_checkpoint(df.groupBy("enterprise_type", "threat_code").agg(F.count(F.lit(1)).alias("n")))
+    cells = pairs
+    for key in ("enterprise_type", "threat_code"):
+        top = pairs.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("_n")).orderBy(
+            F.desc("_n"), F.asc(key)).limit(k)
+        cells = in_top_k(cells, top, key)                     # F11 / J02: k rows, broadcast
+    return cells.select("enterprise_type", "threat_code", "n")
 
 
-def industry_threat_long(df: DataFrame, k: int = K.TOP_K) -> DataFrame:
-    """V03 in long form: (enterprise_type, threat_code, n) over the top-k × top-k cells present."""
-    top_codes = top_k_by_count(df, "threat_code", k)
-    top_inds = top_k_by_count(df, "enterprise_type", k)
-    subset = (df.join(F.broadcast(top_codes.select("threat_code")), "threat_code", "left_semi")
-                .join(F.broadcast(top_inds.select("enterprise_type")), "enterprise_type", "left_semi"))
-    return subset.groupBy("enterprise_type", "threat_code").agg(F.count(F.lit(1)).alias("n"))
+def industry_threat_matrix(df: DataFrame, k: int = K.TOP_K) -> tuple[DataFrame, list[int]]:   # V03
+    """Crosstab of the k commonest industries × the k commonest threat codes; the k codes are the pivot's columns."""
+    cells = industry_threat_long(df, k)
+    codes = sorted(r["threat_code"] for r in cells.select("threat_code").distinct().collect())    # at most k
+    p = cells.groupBy("enterprise_type").pivot("threat_code", codes).agg(F.first("n"))
+    return p.na.fill(0, [str(c) for c in codes]), codes

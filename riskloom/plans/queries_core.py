@@ -16,6 +16,7 @@ from riskloom.functions.wallclock import ntz_lit
 from riskloom.operators import aggregates as A
 from riskloom.operators import enrich as E
 from riskloom.operators import filters as FL
+from riskloom.operators import grouped as G
 from riskloom.operators import paging as PG
 from riskloom.operators import pivots as V
 from riskloom.operators import topk as W
@@ -92,9 +93,9 @@ def p12_p14(spark, d):
     coalesce(strftime(date_added, '%d.%m.%Y'), '') AS date_added,
     coalesce(strftime(last_modified, '%d.%m.%Y'), '') AS last_modified,
     status, coalesce(notes, '') AS notes
-    FROM threat_catalog""", src="threat_catalog", cal=False), "P15", "P16", "P17", "P18", "P26")
+    FROM whole_catalog""", src="whole_catalog", cal=False), "P15", "P16", "P17", "P18", "P26")
 def p15_p18(spark, d):
-    return tx.threat_display(T.threat_catalog(spark, d))
+    return tx.threat_display(T.whole_catalog(spark, d))
 
 
 @register("p26_incident_display", q("""SELECT enterprise_type, enterprise_code, host_count, threat_code,
@@ -108,11 +109,11 @@ def p26(spark, d):
 
 @register("p25_row_labels", q("""SELECT 'Инцидент ' || enterprise_code || ' | Угроза ' || CAST(threat_code AS VARCHAR)
     || ' | ' || region AS label FROM incidents_ev
-    UNION ALL SELECT 'Угроза ' || CAST(threat_id AS VARCHAR) || ': ' || name FROM threats""",
-    src="incidents_ev", cal=False, views=("threats",)), "P25")
+    UNION ALL SELECT 'Угроза ' || CAST(threat_id AS VARCHAR) || ': ' || name FROM all_threats""",
+    src="incidents_ev", cal=False, views=("all_threats",)), "P25")
 def p25(spark, d):
     inc = T.incidents_ev(spark, d).select(tx.incident_label("enterprise_code", "threat_code", "region").alias("label"))
-    thr = T.threats(spark, d).select(tx.threat_label("threat_id", "name").alias("label"))
+    thr = T.all_threats(spark, d).select(tx.threat_label("threat_id", "name").alias("label"))
     return inc.unionByName(thr)
 
 
@@ -158,12 +159,12 @@ def a01(spark, d):
 
 
 @register("a02_kpi_panel", q("""SELECT (SELECT count(*) FROM incidents_li) AS incidents,
-    (SELECT count(*) FROM threats) AS threats_in_catalog,
+    (SELECT count(*) FROM all_threats) AS threats_in_catalog,
     count(DISTINCT enterprise_type) AS enterprise_types, count(DISTINCT region) AS regions,
     count(DISTINCT threat_code) AS threat_codes, avg(success) * 100 AS success_pct,
-    avg(host_count) AS mean_hosts FROM incidents_li""", cal=False, views=("threats",)), "A02")
+    avg(host_count) AS mean_hosts FROM incidents_li""", cal=False, views=("all_threats",)), "A02")
 def a02(spark, d):
-    return A.kpi_panel(T.incidents_li(spark, d), T.threats(spark, d))
+    return A.kpi_panel(T.incidents_li(spark, d), T.all_threats(spark, d))
 
 
 def _rate_query(key):
@@ -245,11 +246,7 @@ def a13(spark, d):
     UNION ALL SELECT 'region', region FROM incidents_li WHERE region IS NOT NULL GROUP BY region""", cal=False),
     "A16", "F13")
 def a16(spark, d):
-    inc = T.incidents_li(spark, d)
-    a = A.distinct_values(inc, "enterprise_type").select(F.lit("enterprise_type").alias("facet"),
-                                                          F.col("enterprise_type").alias("value"))
-    b = A.distinct_values(inc, "region").select(F.lit("region").alias("facet"), F.col("region").alias("value"))
-    return a.unionByName(b)
+    return G.distinct_values(T.incidents_li(spark, d), ["enterprise_type", "region"])
 
 
 @register("a17_class_balance", q("""SELECT CAST(sum(CASE WHEN success = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
@@ -315,16 +312,9 @@ def w07(spark, d):
     UNION ALL (SELECT 'season', season, avg(success) AS r FROM cal GROUP BY season ORDER BY r DESC, season LIMIT 1))"""),
     "W08", "A03", "A04", "A05", "A06")
 def w08(spark, d):
-    df = li_cal(spark, d)
-    parts = []
-    for key in ("hour", "dow", "month", "season"):
-        best = W.arg_max(A.success_rate_by(df, key), key, "success_rate")
-        parts.append(best.select(F.lit(key).alias("dimension"), F.col(key).cast("string").alias("best"),
-                                 "success_rate"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = ["hour", "dow", "month", "season"]
+    best = G.best_of_each(G.by_each(li_cal(spark, d), keys, "success"), keys, dict.fromkeys(keys, 1))
+    return best.select("dimension", F.col("value").alias("best"), "success_rate")
 
 
 _ADMIN_ORDER = ("incident_date DESC, incident_time DESC, enterprise_code, threat_code, host_count, success, "
@@ -450,10 +440,10 @@ def f04(spark, d):
     return FL.recent(inc, ntz_lit(as_of))
 
 
-@register("f06_threat_facets", q("""SELECT * FROM threat_catalog WHERE status = 'Brand#3' AND target_object = 'SMALL'""",
-    src="threat_catalog", cal=False), "F06")
+@register("f06_threat_facets", q("""SELECT * FROM whole_catalog WHERE status = 'Brand#3' AND target_object = 'SMALL'""",
+    src="whole_catalog", cal=False), "F06")
 def f06(spark, d):
-    return FL.facets(T.threat_catalog(spark, d), status="Brand#3", target_object="SMALL")
+    return FL.facets(T.whole_catalog(spark, d), status="Brand#3", target_object="SMALL")
 
 
 @register("f07_incident_facets", q("""SELECT * FROM incidents_li WHERE success = 1 AND region = 'NATION_7'
@@ -462,13 +452,13 @@ def f07(spark, d):
     return FL.facets(T.incidents_li(spark, d), success=1, region="NATION_7", enterprise_type="BUILDING")
 
 
-@register("f08_threat_search", q("""SELECT * FROM threat_catalog WHERE
+@register("f08_threat_search", q("""SELECT * FROM whole_catalog WHERE
     (contains(lower(name), 'red') OR contains(lower(CAST(threat_id AS VARCHAR)), 'red')
       OR contains(lower(description), 'red'))
     AND (contains(lower(name), 'brand#1') OR contains(lower(CAST(threat_id AS VARCHAR)), 'brand#1')
-      OR contains(lower(description), 'brand#1'))""", src="threat_catalog", cal=False), "F08")
+      OR contains(lower(description), 'brand#1'))""", src="whole_catalog", cal=False), "F08")
 def f08(spark, d):
-    return FL.search(T.threat_catalog(spark, d), "Red BRAND#1", ["name", "threat_id", "description"])
+    return FL.search(T.whole_catalog(spark, d), "Red BRAND#1", ["name", "threat_id", "description"])
 
 
 @register("f09_incident_search", q("""SELECT * FROM incidents_li WHERE
@@ -486,11 +476,14 @@ def f09(spark, d):
     UNION ALL SELECT 'day', CAST(day(incident_date) AS INTEGER), count(*) FROM incidents_li
       WHERE incident_date >= DATE '1996-03-01' AND incident_date < DATE '1996-04-01' GROUP BY 2""", cal=False), "F10")
 def f10(spark, d):
-    inc = T.incidents_li(spark, d)
-    y = FL.date_drilldown(inc).select(F.lit("year").alias("level"), F.col("year").alias("value"), "n")
-    m = FL.date_drilldown(inc, year=1996).select(F.lit("month").alias("level"), F.col("month").alias("value"), "n")
-    dd = FL.date_drilldown(inc, year=1996, month=3).select(F.lit("day").alias("level"), F.col("day").alias("value"), "n")
-    return y.unionByName(m).unionByName(dd)
+    return G.date_levels(T.incidents_li(spark, d), 1996, 3)
+
+
+@register("f10_months_of_a_year", q("""SELECT CAST(month(incident_date) AS INTEGER) AS month, count(*) AS n FROM incidents_li
+    WHERE incident_date >= DATE '1996-01-01' AND incident_date < DATE '1997-01-01' GROUP BY 1""", cal=False), "F10")
+def f10_months(spark, d):
+    """One level alone, with its range pushed to the scan."""
+    return FL.date_drilldown(T.incidents_li(spark, d), year=1996)
 
 
 @register("f11_top_k_subset", q("""SELECT * FROM incidents_li WHERE threat_code IN (SELECT threat_code FROM incidents_li
@@ -505,3 +498,13 @@ def f11(spark, d):
 def f14(spark, d):
     inc = T.incidents_ev(spark, d).drop("incident_time")
     return FL.guard(inc, ["incident_time"])
+
+
+@register("f14_guard_both_ways", q("""SELECT 'present' AS columns, incident_id FROM incidents_ev WHERE threat_code IS NOT NULL""",
+          src="incidents_ev", cal=False), "F14")
+def f14_both(spark, d):
+    """Rows pass where the required columns are there, and none where one is missing."""
+    inc = T.incidents_ev(spark, d).where(F.col("threat_code").isNotNull())
+    out = FL.guard(inc, ["incident_time", "threat_code"]).select(F.lit("present").alias("columns"), "incident_id")
+    return out.unionByName(FL.guard(inc.drop("incident_time"), ["incident_time", "threat_code"]).select(
+        F.lit("missing").alias("columns"), "incident_id"))

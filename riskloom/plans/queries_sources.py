@@ -30,18 +30,20 @@ def _fresh(spark, name):
     CASE WHEN threat_id % 5 = 0 THEN true ELSE confidentiality_breach END AS confidentiality_breach,
     CASE WHEN threat_id % 5 = 0 THEN true ELSE integrity_breach END AS integrity_breach,
     CASE WHEN threat_id % 5 = 0 THEN true ELSE availability_breach END AS availability_breach,
-    date_added, last_modified, status, notes FROM threat_catalog""", src="threat_catalog", cal=False),
+    date_added, last_modified, status, notes FROM whole_catalog""", src="whole_catalog", cal=False),
     "S01", "S13", "P19", "S06")
 def s01(spark, d):
     path = _fresh(spark, "threat-sheet")
-    SH.write_threat_sheet(T.threat_catalog(spark, d), path)
+    SH.write_threat_sheet(T.whole_catalog(spark, d), path)
     return SH.read_threat_sheet(spark, path)
 
 
-@register("s01_sheet_rejected_rows", "SELECT CAST(2 AS BIGINT) AS rejected", "S01")
+@register("s01_sheet_rejected_rows", q("SELECT 2 + count(*) FILTER (WHERE notes IS NULL) AS rejected FROM whole_catalog",
+          src="whole_catalog", cal=False), "S01")
 def s01_rejected(spark, d):
-    path = _fresh(spark, "threat-sheet")
-    SH.write_threat_sheet(T.threat_catalog(spark, d), path)
+    """Banner, header and, in this sheet, the rows without notes, which have no id either."""
+    path, cat = _fresh(spark, "threat-sheet"), T.whole_catalog(spark, d)
+    SH.write_threat_sheet(cat.withColumn("threat_id", F.when(F.col("notes").isNotNull(), F.col("threat_id"))), path)
     return SH.count_rejected(spark, path)
 
 
@@ -72,11 +74,11 @@ def s02_folder(spark, d):
     CASE WHEN threat_id % 5 = 0 THEN true ELSE confidentiality_breach END AS confidentiality_breach,
     CASE WHEN threat_id % 5 = 0 THEN true ELSE integrity_breach END AS integrity_breach,
     CASE WHEN threat_id % 5 = 0 THEN true ELSE availability_breach END AS availability_breach,
-    date_added, last_modified, status, notes FROM threat_catalog""", src="threat_catalog", cal=False),
+    date_added, last_modified, status, notes FROM whole_catalog""", src="whole_catalog", cal=False),
     "S01", "S13", "P19", "S06")
 def s01_folder(spark, d):
     """Two catalogue sheets in one folder, each with its banner, whose columns stand in other orders."""
-    path, cat = _fresh(spark, "threat-sheets"), T.threat_catalog(spark, d)
+    path, cat = _fresh(spark, "threat-sheets"), T.whole_catalog(spark, d)
     noted = F.col("notes").isNotNull()
     SH.write_threat_sheet(cat.where(noted), f"{path}/a")
     SH.write_threat_sheet(cat.where(~noted), f"{path}/b", first=["Замечания", "Статус угрозы"])
@@ -170,18 +172,18 @@ def s18(spark, d):
 
 
 @register("s19_load_audit", q("""SELECT 'threats' AS "table", count(*) AS rows FROM (
-      SELECT threat_id FROM threat_catalog UNION SELECT threat_id FROM catalog_revision)
+      SELECT threat_id FROM whole_catalog UNION SELECT threat_id FROM catalog_revision)
     UNION ALL SELECT 'incidents', count(*) FROM (SELECT DISTINCT enterprise_code, incident_time FROM incidents_li)""",
-    src="threat_catalog", cal=False, views=("catalog_revision", "incidents_li")), "S19", "S14", "S15")
+    src="whole_catalog", cal=False, views=("catalog_revision", "incidents_li")), "S19", "S14", "S15")
 def s19(spark, d):
-    thr = upsert_last_wins([T.threat_catalog(spark, d), T.catalog_revision(spark, d)], ["threat_id"], [])
+    thr = upsert_last_wins([T.whole_catalog(spark, d), T.catalog_revision(spark, d)], ["threat_id"], [])
     inc = upsert_last_wins([T.incidents_li(spark, d)], ["enterprise_code", "incident_time"], _LI_ORDER)
     return SK.load_audit(threats=thr, incidents=inc)
 
 
-@register("s04_threat_read", q("SELECT threat_id, name FROM threats", src="threats", cal=False), "S04", "S05")
+@register("s04_threat_read", q("SELECT threat_id, name FROM all_threats", src="all_threats", cal=False), "S04", "S05")
 def s04(spark, d):
-    return T.threats(spark, d)
+    return T.all_threats(spark, d)
 
 
 @register("s11_missing_time_column", q("""SELECT enterprise_type, enterprise_code, host_count, threat_code, success,

@@ -7,8 +7,9 @@ the TPC-H-like parquet tables (see FIXTURES.md):
   one month; also the stream source.
 * ``incidents_li`` – lineitem ⋈ orders ⋈ customer ⋈ nation: twelve months,
   duplicate upsert keys, the bench-size table.
-* ``threats`` / ``threat_catalog`` – part rows with gaps, so the incident →
-  threat join has misses and names repeat.
+* ``all_threats`` / ``whole_catalog`` – every part row; names repeat.
+* ``threats`` / ``threat_catalog`` – the same with gaps, for the jobs whose point is a missing
+  threat (the incident → threat join and what follows from it, upserts of new threats).
 
 Joins carry no broadcast hint except for ``nation`` (the fixed 25-row TPC-H
 dimension): customer, orders and part grow with the scale factor, so adaptive
@@ -81,16 +82,21 @@ def incidents_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("threat_id"), F.col("p_name").alias("name"))
+
+
 def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return (p.where(F.col("p_partkey") % 7 != 3)
-            .select(F.col("p_partkey").cast("int").alias("threat_id"), F.col("p_name").alias("name")))
+    return all_threats(spark, sf_dir).where(F.col("threat_id") % 7 != 3)
 
 
 def threat_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_catalog(spark, sf_dir).where(F.col("threat_id") % 7 != 3)
+
+
+def whole_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide catalogue with the twelve columns of the threat model."""
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 7 != 3)
-    return p.select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("threat_id"),
         F.col("p_name").alias("name"),
         F.repeat(F.concat_ws(" ", "p_name", "p_brand", F.lit("")), 3).alias("description"),
@@ -133,11 +139,11 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                 JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
-SQL_THREATS = """
-SELECT CAST(p_partkey AS INT) AS threat_id, p_name AS name FROM part WHERE p_partkey % 7 <> 3
+SQL_ALL_THREATS = """
+SELECT CAST(p_partkey AS INT) AS threat_id, p_name AS name FROM part
 """
 
-SQL_THREAT_CATALOG = """
+SQL_WHOLE_CATALOG = """
 SELECT CAST(p_partkey AS INT) AS threat_id, p_name AS name,
        repeat(p_name || ' ' || p_brand || ' ', 3) AS description,
        repeat(p_type || ' ', 2) || p_name || ' ' || p_brand AS threat_source,
@@ -149,14 +155,18 @@ SELECT CAST(p_partkey AS INT) AS threat_id, p_name AS name,
        CAST(DATE '2023-01-01' + CAST(p_size AS INT) AS DATE) AS last_modified,
        p_brand AS status,
        CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'note ' || p_type END AS notes
-FROM part WHERE p_partkey % 7 <> 3
+FROM part
 """
 
+_GAPS = " WHERE p_partkey % 7 <> 3"
+
 SQL_VIEWS = {
     "incidents_ev": SQL_INCIDENTS_EV,
     "incidents_li": SQL_INCIDENTS_LI,
-    "threats": SQL_THREATS,
-    "threat_catalog": SQL_THREAT_CATALOG,
+    "all_threats": SQL_ALL_THREATS,
+    "whole_catalog": SQL_WHOLE_CATALOG,
+    "threats": SQL_ALL_THREATS + _GAPS,
+    "threat_catalog": SQL_WHOLE_CATALOG + _GAPS,
 }
 
 

@@ -121,3 +121,26 @@ def test_pages_by_cursor_make_up_the_whole_order(spark, size):
     assert got == want[:len(got)]
     assert size == 1 or PG.page_after(df, W.DEFAULT_ORDER, size, cursor).collect() == []
     df.unpersist()
+
+
+@pytest.mark.parametrize("name, scans", [("r02_recommendations", 1), ("w08_peak_times", 1), ("f10_date_drilldown", 1),
+                                         ("a16_facet_values", 1), ("v03_industry_threat_matrix", 0)])
+def test_reports_read_the_incidents_once(spark, name, scans):
+    """v03 has read them before its plan is built, into a table of counted pairs."""
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    assert sum("FileScan parquet" in x and "lineitem.parquet" in x for x in p.splitlines()) == scans
+
+
+def test_rank_limits_reach_the_tasks(spark):
+    p = plan(QUERIES["r02_recommendations"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p and "Partial" in p[p.index("WindowGroupLimit"):]
+
+
+def test_crosstab_is_the_pivot_of_the_long_form(spark):
+    from riskloom.operators import pivots as V
+    from riskloom.sources import tables as T
+    inc = T.incidents_ev(spark, SF_SMALL)
+    wide, codes = V.industry_threat_matrix(inc, 3)
+    long_ = {(r.enterprise_type, r.threat_code): r.n for r in V.industry_threat_long(inc, 3).collect()}
+    got = {(r["enterprise_type"], c): r[str(c)] for r in wide.collect() for c in codes}
+    assert len(codes) == 3 and {k: n for k, n in got.items() if n} == long_
