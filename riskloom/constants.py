@@ -99,3 +99,11 @@ REC_THREAT = "4. По угрозам: сконцентрироваться на
 REC_CLUSTER = "5. Кластеры высокого риска: {items}"
 REC_FACTORS = "6. Ключевые факторы успешной атаки: {items}"
 REC_ARCH = "7. Архитектура безопасности: внедрить систему раннего предупреждения на основе улучшенной модели."
+
+# --- fixed values: lines of the forecast text (format strings) ---
+FORECAST_RULE = "=" * 50
+FORECAST_HEADING = "Прогнозируется атака"
+FORECAST_REGION = "   Регион:          "
+FORECAST_INDUSTRY = "   Отрасль:         "
+FORECAST_TIME = "   Время атаки:     %s:00 (День %d)"
+FORECAST_CHANCE = "   Вероятность успеха: %.2f%%"

@@ -64,14 +64,24 @@ def alert_text(enterprise_type, region) -> Column:    # P24
                     F.lit(K.ALERT_REGION), F.coalesce(_c(region), F.lit(K.UNKNOWN)))
 
 
+def title(x) -> Column:
+    """Every letter that follows no letter in upper case, all others in lower case ('north-west' is 'North-West').
+
+    ``initcap`` knows words by spaces only, so one is put, behind a mark, before a letter that follows another sign.
+    """
+    marked = F.regexp_replace(_c(x), r"(?<=[^\p{L} ])(?=\p{L})", "\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+
+
 def forecast_card(region, industry, hour, day, prob) -> Column:   # P24 (scoring card)
-    return F.format_string(
-        "Регион: %s | Отрасль: %s | Время атаки: %s:00 (День %d) | Вероятность успеха: %.2f%%",
-        F.initcap(F.coalesce(_c(region), F.lit(K.UNKNOWN))),
-        F.initcap(F.coalesce(_c(industry), F.lit(K.UNKNOWN))),
-        F.lpad(F.coalesce(_c(hour), F.lit(0)).cast("string"), 2, "0"),
-        F.coalesce(_c(day), F.lit(0)),
-        _c(prob) * 100)
+    """The forecast as text: a heading and four lines between two rules."""
+    line = F.lit(K.FORECAST_RULE)
+    return F.array_join(F.array(
+        line, F.lit(K.FORECAST_HEADING),
+        F.concat(F.lit(K.FORECAST_REGION), title(F.coalesce(_c(region), F.lit(K.UNKNOWN)))),
+        F.concat(F.lit(K.FORECAST_INDUSTRY), title(F.coalesce(_c(industry), F.lit(K.UNKNOWN)))),
+        F.format_string(K.FORECAST_TIME, F.lpad(F.coalesce(_c(hour), F.lit(0)).cast("string"), 2, "0"), F.coalesce(_c(day), F.lit(0))),
+        F.format_string(K.FORECAST_CHANCE, _c(prob) * 100), line), "\n")
 
 
 def threat_display(df: DataFrame) -> DataFrame:       # P26, threats: 12 columns

@@ -8,11 +8,13 @@ collect of rows).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,19 +81,46 @@ def assign(model: KMeansModel, vectors: DataFrame, out: str = "cluster") -> Data
     return model.transform(vectors).withColumnRenamed("prediction", out)
 
 
+def covariance(df: DataFrame, cols) -> DataFrame:                          # M09
+    """(row, col, covariance) of every pair of columns, row <= col, by one aggregate of their population covariances."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    one = df.agg(*[F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_{i}_{j}") for i, j in pairs])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.lit(j).alias("col"), F.col(f"_{i}_{j}").alias("covariance"))
+                                          for i, j in pairs])).alias("c")).select("c.*")
+
+
+def principal_axes(cov: DataFrame, d: int, k: int = 2) -> np.ndarray:
+    """(d, k) loadings of the k greatest variances; the first of a component's largest loadings is positive.
+
+    Only the d x d covariances pass the driver.
+    """
+    m = np.zeros((d, d))
+    for r in cov.collect():
+        m[r["row"], r["col"]] = m[r["col"], r["row"]] = r["covariance"] or 0.0
+    values, vectors = np.linalg.eigh(m)
+    axes = vectors[:, np.argsort(-values, kind="stable")[:k]]
+    size = np.abs(axes)
+    first = np.argmax(size >= size.max(0) - 1e-9, axis=0)
+    return axes * np.where(axes[first, np.arange(k)] < 0, -1.0, 1.0)
+
+
+def project(df: DataFrame, cols, axes: np.ndarray, prefix: str = "pca") -> DataFrame:
+    """``df`` with ``pca1`` .. : the columns' values along each axis."""
+    return df.withColumns({f"{prefix}{j + 1}": reduce(lambda a, b: a + b, [F.col(c) * F.lit(float(w)) for c, w in zip(cols, axes[:, j], strict=True)])
+                           for j in range(axes.shape[1])})
+
+
 def pca2(vectors: DataFrame, k: int = 2):                                 # M09
-    """Two principal components of the (already centred) scaled vectors.
+    """(frame with ``pca1``, ``pca2``, loadings): principal components of the (already centred) scaled vectors.
 
-    Signs are fixed so that each component's largest-magnitude loading is
+    Signs are fixed so that the first of a component's largest-magnitude loadings is
     positive, which makes the projection reproducible across engines.
     """
-    model = PCA(k=k, inputCol="features", outputCol="_pca").fit(vectors)
-    pc = model.pc.toArray()
-    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    arr = vector_to_array("_pca")
-    out = model.transform(vectors).withColumns(
-        {f"pca{j + 1}": arr[j] * F.lit(signs[j]) for j in range(k)}).drop("_pca")
-    return out, model, signs
+    d = vectors.schema["features"].metadata.get("ml_attr", {}).get("num_attrs") or len(vectors.first()["features"])
+    cols = [f"_x{i}" for i in range(d)]
+    wide = vectors.withColumn("_x", vector_to_array("features")).withColumns({c: F.col("_x")[i] for i, c in enumerate(cols)})
+    axes = principal_axes(covariance(wide, cols), d, k)
+    return project(wide, cols, axes).drop("_x", *cols), axes
 
 
 def profile(df: DataFrame, cluster: str = "cluster", label: str = "success") -> DataFrame:   # A14

@@ -53,7 +53,7 @@ class Analysis:
     sweep: CL.SweepResult
     best_k: int
     kmeans: object
-    pca_signs: list
+    pca_axes: object
     levels: dict
     feature_cols: list
     success: CF.SuccessResult
@@ -71,12 +71,12 @@ def run_analysis(incidents: DataFrame, threats: DataFrame, profile: Profile = RE
     best_k = sw.best_k
     km = CL.fit_kmeans(vec, best_k, profile.seeds, profile.kmeans_iter)
     clustered = CL.assign(km, vec)
-    with_pca, _, signs = CL.pca2(clustered)
+    with_pca, axes = CL.pca2(clustered)
     frame = checkpoint_spread(with_pca.drop("features"))
     mf, cols, levels = CF.model_frame(frame)
     success = CF.train_success(mf, cols, id_cols, profile.success)
     threat = CF.train_threat(mf, cols, id_cols, K.TOP_K, profile.threat_baseline, profile.threat_improved)
-    return Analysis(frame, vocabs, scaler, sw, best_k, km, signs, levels, cols, success, threat)
+    return Analysis(frame, vocabs, scaler, sw, best_k, km, axes, levels, cols, success, threat)
 
 
 _MEMO: dict = {}
