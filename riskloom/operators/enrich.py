@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import calendar as cal
 from riskloom.functions.text import join_key
 from riskloom.operators.joins import bounded_broadcast
+from riskloom.session import reliable_checkpoint
 
 
 def threat_names(threats: DataFrame, code_col: str = "threat_code") -> DataFrame:
@@ -60,19 +61,19 @@ def frequencies(df: DataFrame, keys: dict[str, str]) -> DataFrame:
 def feature_frame(incidents: DataFrame, threats: DataFrame) -> DataFrame:
     """The analysis frame: incident columns, calendar, threat name and the 14 features.
 
-    The three frequencies come from one pass (:func:`frequencies`), checked
-    for size once and broadcast; the threat catalogue joins onto the small
-    threat-frequency table, not onto the incidents.
+    The three frequencies come from one pass (:func:`frequencies`); each table is checked
+    for size by itself, so that a large threat table does not keep the others from being broadcast; the
+    threat catalogue joins onto the small threat-frequency table, not onto the incidents.
     """
     df = cal.with_calendar(incidents)
     keys = {"threat_freq": "threat_code", "region_freq": "region", "industry_freq": "enterprise_type"}
-    freq = bounded_broadcast(frequencies(df, keys))
+    freq = reliable_checkpoint(frequencies(df, keys))
     for name, key in keys.items():
         dtype = dict(df.dtypes)[key]
         part = freq.where(F.col("set") == name).select(F.col("key").cast(dtype).alias(key), F.col("n").alias(name))
         if name == "threat_freq":
-            part = part.join(threat_names(threats, key), key, "left")
-        df = df.join(part if name != "threat_freq" else bounded_broadcast(part), key, "left")
+            part = part.join(threat_names(threats, key).hint("merge"), key, "left")
+        df = df.join(bounded_broadcast(part), key, "left")
     df = cal.with_time_flags(df)
     df = df.withColumns(_combined_keys())
     return cal.with_cyclic(df)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import casts as C
 from riskloom.functions.wallclock import fmt_day_first
+from riskloom.plans import ingest
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
 from riskloom.session import scratch_path
@@ -164,6 +165,35 @@ def s15(spark, d):
     return upsert_last_wins([T.incidents_li(spark, d)], ["enterprise_code", "incident_time"], _LI_ORDER)
 
 
+@register("s15_last_of_many_in_a_batch", q("""SELECT * FROM incidents_ev QUALIFY row_number() OVER (PARTITION BY enterprise_code
+    ORDER BY incident_id DESC) = 1""", src="incidents_ev", cal=False), "S15", "S14")
+def s15_sequence(spark, d):
+    """A batch with many rows for each key, in the order of a sequence: the last one wins, not the greatest."""
+    return upsert_last_wins([T.incidents_ev(spark, d)], ["enterprise_code"], ["incident_id"])
+
+
+@register("s14_last_batch_and_row_win", q("""SELECT threat_code, region, host_count, incident_id FROM (
+    SELECT *, CAST(success = 1 AS INTEGER) AS batch FROM incidents_ev)
+    QUALIFY row_number() OVER (PARTITION BY threat_code ORDER BY batch DESC, incident_id DESC) = 1""", src="incidents_ev", cal=False), "S14")
+def s14_sequence(spark, d):
+    """Two batches with repeats in both: a later batch wins, and inside it the later row."""
+    inc = T.incidents_ev(spark, d).select("threat_code", "region", "host_count", "incident_id", "success")
+    batches = [inc.where(F.col("success") != 1).drop("success"), inc.where(F.col("success") == 1).drop("success")]
+    return upsert_last_wins(batches, ["threat_code"], ["incident_id"])
+
+
+@register("s19_load_command", q("""SELECT 'threats' AS "table", count(*) AS rows FROM whole_catalog
+    UNION ALL SELECT 'incidents', count(*) FROM (SELECT DISTINCT enterprise_code, date_trunc('second', incident_time) FROM incidents_ev)""",
+    src="whole_catalog", cal=False, views=("incidents_ev",)), "S19", "S01", "S02", "S14", "S15", "S18")
+def s19_load(spark, d):
+    """The load command on both sheets, twice: the second load changes nothing."""
+    thr, inc, store = _fresh(spark, "threats"), _fresh(spark, "incidents"), _fresh(spark, "store")
+    SH.write_threat_sheet(T.whole_catalog(spark, d), thr)
+    SH.write_incident_sheet(T.incidents_ev(spark, d), inc)
+    ingest.load(spark, thr, inc, store).collect()                        # two rows
+    return ingest.load(spark, thr, inc, store)
+
+
 @register("s18_s03_partitioned_roundtrip", q("SELECT * FROM incidents_li", cal=False), "S18", "S03")
 def s18(spark, d):
     path = _fresh(spark, "incident-table")

@@ -144,3 +144,47 @@ def test_crosstab_is_the_pivot_of_the_long_form(spark):
     long_ = {(r.enterprise_type, r.threat_code): r.n for r in V.industry_threat_long(inc, 3).collect()}
     got = {(r["enterprise_type"], c): r[str(c)] for r in wide.collect() for c in codes}
     assert len(codes) == 3 and {k: n for k, n in got.items() if n} == long_
+
+
+@pytest.mark.parametrize("most, broadcast", [(1 << 20, True), (100, False)])
+def test_broadcast_is_bounded_in_bytes(spark, most, broadcast):
+    from riskloom.operators.joins import bounded_broadcast, frame_bytes
+    small = spark.createDataFrame([(i, "x" * 50) for i in range(100)], "k int, name string")
+    assert frame_bytes(small) == 100 * (16 + 8 + 58)
+    p = plan(spark.range(1000).withColumnRenamed("id", "k").join(bounded_broadcast(small, most), "k"))
+    assert ("BroadcastHashJoin" in p) == broadcast and ("SortMergeJoin" in p) != broadcast
+
+
+def test_frequencies_are_broadcast_one_by_one_and_nothing_stays_cached(spark, monkeypatch):
+    from riskloom.operators import enrich, joins
+    from riskloom.sources import tables as T
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+    df = enrich.feature_frame(T.incidents_ev(spark, SF_SMALL), T.threats(spark, SF_SMALL))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+    whole = plan(df).count("BroadcastHashJoin")
+    # a bound that the table of threats passes, and those of regions and industries do not
+    monkeypatch.setattr(enrich, "bounded_broadcast", lambda x: joins.bounded_broadcast(x, 2000))
+    part = enrich.feature_frame(T.incidents_ev(spark, SF_SMALL), T.threats(spark, SF_SMALL))
+    assert plan(part).count("BroadcastHashJoin") == whole - 1
+    assert part.count() == df.count()
+
+
+def test_a_month_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from riskloom.sources import sinks
+    day = F.when(F.col("id") % 20 == 0, F.lit("2024-02-01")).otherwise(F.lit("2024-01-01")).cast("date")
+    rows = spark.range(60000).select(F.lit("T").alias("enterprise_type"), F.sha2(F.col("id").cast("string"), 256).alias("enterprise_code"),
+                                     F.lit(1).alias("host_count"), F.lit(1).alias("threat_code"), F.lit(1).alias("success"), F.lit("R").alias("region"),
+                                     day.alias("incident_date"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("incident_time"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "512k")
+    try:
+        sinks.write_incident_table(rows.repartition(4), str(tmp_path / "t"))
+    finally:
+        spark.conf.set(size, before)
+    files = {m: [f for f in os.listdir(tmp_path / "t" / m) if f.startswith("part")] for m in os.listdir(tmp_path / "t") if "=" in m}
+    assert len(files["incident_month=2024-01"]) > 2 and sinks.read_incident_table(spark, str(tmp_path / "t")).count() == 60000
