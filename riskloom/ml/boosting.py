@@ -38,6 +38,7 @@ from riskloom.operators.quantiles import cut_points
 from riskloom.session import scratch_path
 
 REBASE = 10
+PARTITION_ROWS = 32_768
 _UNIT = float(1 << 24)          # gradients are summed in steps of 1 / _UNIT
 _LEAST_GAIN = 1e-6
 _BLOCK = "n int, x binary, y binary, w binary, k binary, m binary"
@@ -346,6 +347,8 @@ def fit(df: DataFrame, label: str, id_cols: list[str], params: Boosting, classes
     if not 2 <= params.bins <= 256:
         raise ValueError("bins must be 2 to 256")
     cuts = feature_cuts(rows, d, params.bins)
+    # Few rows in many partitions would make every level a job of many tasks with next to nothing to do.
+    rows = rows.coalesce(-(-rows.count() // PARTITION_ROWS))
     blocks = _written(_to_blocks(rows, cuts, columns), "blocks")
     done: list[list[dict]] = []
     since: list[list[dict]] = []

@@ -274,6 +274,28 @@ def m24(spark, d):
     return t.test_scored.select("threat_code", "class_code", "prediction", "probs")
 
 
+def _class_counts(scored):
+    """Test rows of each class and what their class probabilities add up to: one for each row."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return scored.groupBy("class_code").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.sum(total), 6).alias("probability"))
+
+
+@register("m21_m22_boosted_threat_counts", q("""SELECT class_code, count(*) AS n_test, CAST(count(*) AS DOUBLE) AS probability
+    FROM tsplit WHERE is_test GROUP BY class_code""", cal=False, ctes=_THREAT_CTES), "M21", "M22", "M24", "M11")
+def m21_counts(spark, d):
+    return _class_counts(_an(spark, d).threat.test_scored)
+
+
+@register("m21_m22_boosted_threat_reference", None, "M21", "M22", "M23", "M25")
+def m21_reference(spark, d):
+    """The threat model with all its rounds (200 and 300, D26): test rows and probabilities by class, and its accuracies."""
+    frame, columns, _ = CF.model_frame(E.feature_frame(T.incidents_li(spark, d), T.threats(spark, d)))
+    t = CF.train_threat(frame, columns, IDS)
+    return _class_counts(t.test_scored).withColumns({
+        "accuracy_baseline": F.lit(t.acc_baseline), "accuracy_improved": F.lit(t.acc_improved), "top3": F.lit(t.top3),
+        "champion": F.lit(t.champion)})
+
+
 @register("m26_attributions", None, "M26")
 def m26(spark, d):
     s = _an(spark, d).success
