@@ -25,7 +25,7 @@ from riskloom.ml.encode import PopulationScaler, fit_apply_codes
 NUM_COLS = ["host_count", "hour", "dow", "month"]
 CAT_COLS = ["enterprise_type", "region", "season", "region_industry", "industry_threat"]
 CLUSTER_FEATURES = NUM_COLS + [f"{c}_enc" for c in CAT_COLS]
-DEFAULT_SEEDS = (42, 43, 44)
+DEFAULT_SEEDS = tuple(range(42, 52))       # ten restarts
 
 
 def encode_for_clustering(df: DataFrame):

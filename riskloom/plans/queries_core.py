@@ -20,6 +20,7 @@ from riskloom.operators import grouped as G
 from riskloom.operators import paging as PG
 from riskloom.operators import pivots as V
 from riskloom.operators import topk as W
+from riskloom.plans import dashboard
 from riskloom.plans.registry import register
 from riskloom.plans.sqltext import q
 from riskloom.sources import tables as T
@@ -508,3 +509,42 @@ def f14_both(spark, d):
     out = FL.guard(inc, ["incident_time", "threat_code"]).select(F.lit("present").alias("columns"), "incident_id")
     return out.unionByName(FL.guard(inc.drop("incident_time"), ["incident_time", "threat_code"]).select(
         F.lit("missing").alias("columns"), "incident_id"))
+
+
+# ----------------------------------------------------------------- the dashboard
+
+_VIEW = f"view_ AS (SELECT * FROM cal WHERE enterprise_type IN {_TYPES} AND region IN {_REGIONS} AND success = 1)"
+
+
+def _counted_sql(frame, key, top=False):
+    limit = f" ORDER BY count(*) DESC, {key} LIMIT 10" if top else ""
+    return f"(SELECT '{frame}' AS frame, CAST({key} AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value FROM view_ " \
+           f"WHERE {key} IS NOT NULL GROUP BY {key}{limit})"
+
+
+@register("dashboard_all_frames", q(" UNION ALL ".join([
+    *(f"SELECT 'kpis' AS frame, '{k}' AS key, CAST({x} AS DOUBLE) AS value FROM view_" for k, x in (
+        ("incidents", "count(*)"), ("threats_in_catalog", "max((SELECT count(*) FROM all_threats))"), ("enterprise_types", "count(DISTINCT enterprise_type)"),
+        ("regions", "count(DISTINCT region)"), ("threat_codes", "count(DISTINCT threat_code)"), ("success_pct", "avg(success) * 100"),
+        ("mean_hosts", "avg(host_count)"))),
+    _counted_sql("top_industries", "enterprise_type", True), _counted_sql("top_regions", "region", True),
+    _counted_sql("by_hour", "hour"), _counted_sql("by_weekday", "dow"),
+    """SELECT 'by_season', upper(substr(season, 1, 1)) || substr(season, 2), CAST(count(*) AS DOUBLE) FROM view_ GROUP BY 2""",
+    """SELECT 'industry_success_pct', enterprise_type, avg(success) * 100 FROM view_ GROUP BY enterprise_type HAVING count(*) >= 5""",
+    """(SELECT 'top_threats', t.name, CAST(count(*) AS DOUBLE) FROM view_ v JOIN all_threats t ON t.threat_id = v.threat_code
+        GROUP BY t.name ORDER BY count(*) DESC, t.name LIMIT 10)"""]), src="incidents_ev", views=("all_threats",), ctes=(_VIEW,)),
+    "F01", "F02", "F03", "A02", "A10", "A11", "A12", "A13", "W04", "W05", "W06")
+def dashboard_frames(spark, d):
+    """Every frame of the dashboard behind its three filters, as (frame, key, value)."""
+    fr = dashboard.frames(T.incidents_ev(spark, d), T.all_threats(spark, d), _TYPES, _REGIONS, "success")
+    kpis = fr["kpis"]
+    parts = [kpis.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
+                                             for c in kpis.columns])).alias("k")).select(F.lit("kpis").alias("frame"), "k.*")]
+    for name, key, value in (("top_industries", "enterprise_type", "n"), ("top_regions", "region", "n"), ("by_hour", "hour", "n"),
+                             ("by_weekday", "dow", "n"), ("by_season", "season_display", "n"),
+                             ("industry_success_pct", "enterprise_type", "success_pct"), ("top_threats", "threat_name", "n")):
+        parts.append(fr[name].select(F.lit(name).alias("frame"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
