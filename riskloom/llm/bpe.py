@@ -13,7 +13,7 @@ the order inside a bucket matter: overlapping pairs, which are resolved left to
 that creates a pair of a *lower* rank, upon which that one pre-token is encoded again alone, strictly
 one leftmost lowest merge after the other.
 
-Distinct pre-tokens are remembered between batches up to a bound; forgetting only costs time.  The
+The ids of distinct pre-tokens are remembered inside a task up to a bound; forgetting only costs time.  The
 vocabulary (a public file, its path a parameter) is read by the driver and sent to the executors as
 one broadcast variable of about 1 MB, a size fixed by the file.
 
@@ -28,18 +28,22 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskloom.llm.common import arrow_map, text_or_empty
+from riskloom.llm.common import give_back, record_batch, text_or_empty, tidy
 
-MEMO_PIECES = 200_000
-BATCH_CHARS = 4_000_000
+MEMO_PIECES = 100_000
+BATCH_CHARS = 1_000_000
 _WORD = 64
 
 # Fixed value: the splitting pattern of the public byte-level vocabularies.
@@ -270,7 +274,7 @@ def splitter(pattern: str):
 
 
 class Encoder:
-    """Pre-tokenisation around a vocabulary; texts become arrays of numbers of distinct pre-tokens."""
+    """Pre-tokenisation around a vocabulary; the ids of distinct pre-tokens are kept end to end in one array."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, splitter(pattern)
@@ -279,28 +283,25 @@ class Encoder:
     def forget(self) -> None:
         self.index: defaultdict[str, int] = defaultdict()
         self.index.default_factory = self.index.__len__
-        self.ids: list[list[int]] = []
-        self.text: list[str] = []
-        self.raw: list[bytes] = []
+        self.ids, self.cuts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def numbers(self, texts: list[str]) -> list[list[int]]:
-        """For each text the numbers of its pre-tokens, whose ids, decimal text and decoded bytes are then known."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; pre-tokens that are not known yet are encoded together first."""
         if len(self.index) > MEMO_PIECES:
             self.forget()
         known, number = len(self.index), self.index.__getitem__
-        out = [list(map(number, pieces)) for pieces in map(self.split, texts)]
+        coded = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in map(self.split, texts)]
         ids, cuts = self.vocabulary.encode_pieces(
             [p.encode("utf-8", "surrogatepass") for p in islice(self.index, known, None)])
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        self.ids += [ids[a:b] for a, b in spans]
-        decimal = list(map(self.vocabulary.decimal.__getitem__, ids))
-        self.text += [" ".join(decimal[a:b]) for a, b in spans]
-        tokens = list(map(self.vocabulary.tokens.__getitem__, ids))
-        self.raw += [b"".join(tokens[a:b]) for a, b in spans]
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for c in codes for i in self.ids[c]] for codes in self.numbers(texts)]
+        self.cuts = np.concatenate((self.cuts, np.array(cuts[1:], np.int64) + len(self.ids)))
+        self.ids = np.concatenate((self.ids, np.array(ids, np.int32)))
+        for codes in coded:
+            start, size = self.cuts[codes], self.cuts[codes + 1] - self.cuts[codes]
+            ends = np.cumsum(size)
+            yield self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -311,13 +312,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _ENCODERS: dict = {}
 
 
-def _encoder(ranks, pattern: str) -> Encoder:
-    """This Python worker's encoder for a broadcast vocabulary."""
-    key = (ranks.value[b"\x00"], len(ranks.value), hash(frozenset(ranks.value.items())), pattern)
-    if key not in _ENCODERS:
+@contextmanager
+def _encoder(ranks, name: str, pattern: str) -> Iterator[Encoder]:
+    """This Python worker's encoder for the vocabulary of that name; what it remembers ends with the task."""
+    if (name, pattern) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(ranks.value), pattern)
-    return _ENCODERS[key]
+        _ENCODERS[name, pattern] = Encoder(Vocabulary(ranks.value), pattern)
+    encoder = _ENCODERS[name, pattern]
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+        give_back()
+
+
+def _sent(spark, vocabulary_path: str):
+    """(broadcast ranks, a name for them) of a vocabulary file."""
+    ranks = read_ranks(vocabulary_path)
+    return spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
 
 
 def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -335,13 +347,13 @@ def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str = BYTE_LEVEL_PATTERN) -> DataFrame:
     """``docs`` with ``ids`` (array of int): the tokens of each whole text."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
+    ranks, name = _sent(docs.sparkSession, vocabulary_path)
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-        encoder = _encoder(ranks, pattern)
-        return pd.Series([i for part in _portions(texts) for i in encoder.encode(part)], dtype=object)
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with _encoder(ranks, name, pattern) as encoder:
+            for texts in batches:
+                yield pd.Series([i for part in _portions(texts) for i in encoder.arrays(part)], dtype=object)
 
     return docs.withColumn("ids", ids(text_or_empty()))
 
@@ -359,22 +371,24 @@ def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFrame
 
 def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str = BYTE_LEVEL_PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip_ok for every row; the ids stay in the task."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
-
-    def digest(batch: pa.RecordBatch) -> dict:
-        encoder = _encoder(ranks, pattern)
-        n, of_ids, of_bytes, same = [], [], [], []
-        for part in _portions(t.as_py() for t in batch.column(1)):
-            for text, codes in zip(part, encoder.numbers(part), strict=True):
-                decoded = b"".join(map(encoder.raw.__getitem__, codes))
-                ids = " ".join(map(encoder.text.__getitem__, codes))
-                n.append(ids.count(" ") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(decoded).hexdigest())
-                same.append(decoded == text.encode("utf-8", "surrogatepass"))
-        return {"doc_id": batch.column(0), "n_tokens": np.array(n, np.int64), "ids_sha256": of_ids,
-                "decoded_sha256": of_bytes, "round_trip_ok": same}
+    ranks, name = _sent(docs.sparkSession, vocabulary_path)
+    schema = T.StructType.fromDDL(
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip_ok boolean")
+    target = to_arrow_schema(schema)
+
+    @tidy
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _encoder(ranks, name, pattern) as encoder:
+            decimal, vocabulary = encoder.vocabulary.decimal.__getitem__, encoder.vocabulary
+            for batch in batches:
+                out = []
+                for part in _portions(t.as_py() for t in batch.column(1)):
+                    for text, found in zip(part, encoder.arrays(part), strict=True):
+                        ids = found.tolist()
+                        decoded = vocabulary.decode(ids)
+                        out.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(),
+                                    hashlib.sha256(decoded).hexdigest(), decoded == text.encode("utf-8", "surrogatepass")))
+                yield record_batch(target, [batch.column(0), *(zip(*out, strict=True) if out else [[]] * 4)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return arrow_map(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip_ok boolean",
-                     digest)
+    return rows.mapInArrow(digest, schema)

@@ -6,6 +6,9 @@ exactly what ``bytes.split()`` yields, and ``bytes.lower()`` changes A-Z only.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,29 +24,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from riskloom.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# (setting, Spark's default, ours).  Batches for Python are cut by bytes too, as texts have any length, and shuffle files
+# go when their job ends, since the jobs here end in written tables.
+_SETTINGS = (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"),
+             ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false", "true"))
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators are made for, where it still has Spark's defaults."""
+    for name, default, own in _SETTINGS:
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, own)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return prepared(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table in the shared checkpoint folder.
-
-    The shuffle files of the job are dropped when it ends, since the table replaces them.
-    """
-    spark = df.sparkSession
+    """Cut the lineage of ``df`` with a Parquet table in the shared checkpoint folder."""
+    spark = prepared(df.sparkSession)
     path = scratch_path(spark, os.path.join("llm", f"{name}-{uuid.uuid4().hex}"))
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,11 +73,11 @@ def shuffled(df: DataFrame) -> DataFrame:
 MARK_BITS = 1 << 24
 
 
-def likely_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be in ``wanted`` (one column of that name): a superset, before a shuffle.
+def with_likely(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``df`` with ``flag``: false for rows whose ``key`` is surely not in ``wanted`` (one column of that name).
 
     The keys mark bits of a map of ``MARK_BITS`` bits, kept as 64-bit words: at most ``MARK_BITS / 64``
-    rows (4 MB), whatever the size of ``wanted``, so it can be broadcast.  A full map lets all rows pass.
+    rows (4 MB), whatever the size of ``wanted``, so it can be broadcast.  A full map flags all rows.
     """
     def bit(k):
         return F.pmod(F.xxhash64(k), F.lit(MARK_BITS))
@@ -82,21 +85,56 @@ def likely_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     marks = wanted.select(bit(key).alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(__bit & 63 as int))")).alias("__marks"))
     asked = df.withColumn("__bit", bit(key)).withColumn("__word", F.shiftright("__bit", 6))
-    hit = asked.join(F.broadcast(marks), "__word").where(F.expr("(__marks & shiftleft(1L, cast(__bit & 63 as int))) <> 0"))
-    return hit.select(*df.columns)
+    hit = F.expr("coalesce((__marks & shiftleft(1L, cast(__bit & 63 as int))) <> 0, false)")
+    return asked.join(F.broadcast(marks), "__word", "left").select(*df.columns, hit.alias(flag))
+
+
+def likely_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``wanted``: a superset, before a shuffle."""
+    return with_likely(df, key, wanted, "__likely").where("__likely").drop("__likely")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task, and so would what it used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(fn):
+    """A generator over batches that gives its memory back when its task ends."""
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
+
+
+PORTION_BYTES = 4 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``PORTION_BYTES`` (one row at least), as batches are cut by rows, whatever their texts."""
+    step = max(1, batch.num_rows * PORTION_BYTES // max(1, batch.nbytes))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
 
 
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """``mapInArrow`` for a function from one batch to a dict of equally long columns."""
+    """``mapInArrow`` for a function from one part of a batch to a dict of equally long columns."""
     spark_schema = T.StructType.fromDDL(schema)
     names = spark_schema.fieldNames()
     target = to_arrow_schema(spark_schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield record_batch(target, [out[n] for n in names])
+            for part in portions(batch):
+                out = fn(part)
+                if out is not None:
+                    yield record_batch(target, [out[n] for n in names])
 
     return df.mapInArrow(run, spark_schema)
 

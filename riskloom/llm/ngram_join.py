@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, ints, likely_in, mix64, shingle_set, shuffled, text_bytes, written
+from riskloom.llm.common import (arrow_map, ints, likely_in, mix64, shingle_set, shuffled, text_bytes, tidy, with_likely,
+                                 written)
 from riskloom.llm.components import components
 
 CHUNK_SHINGLES = 1 << 19
@@ -108,6 +109,14 @@ def _sketches(docs: DataFrame, width: int, limits: Threshold) -> DataFrame:
                      "doc_id long, n_shingles long, set_key binary, segments binary", sketch)
 
 
+def _publishers(sketches: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, segments) of representatives.  Only rows whose doc_id may be that of a copy travel to be told apart."""
+    told = with_likely(sketches.where("doc_id IS NOT NULL").select("doc_id", "segments"), "doc_id",
+                       rows.where("doc_id <> group_rep").select("doc_id"), "copy")
+    unsure = told.where("copy").join(shuffled(reps.withColumnRenamed("doc", "doc_id")), "doc_id", "left_semi")
+    return told.where("NOT copy").unionByName(unsure).drop("copy")
+
+
 def _neighbourhoods(sketches: DataFrame) -> DataFrame:
     """(segment, doc) of the segments that at least two documents publish."""
     def spread(batch: pa.RecordBatch) -> dict:
@@ -115,8 +124,9 @@ def _neighbourhoods(sketches: DataFrame) -> DataFrame:
         doc = np.repeat(ints(batch.column(0)), [len(p) for p in parts])
         return {"segment": np.concatenate(parts) if parts else [], "doc": doc}
 
-    rows = arrow_map(sketches.where("doc_id IS NOT NULL").select("doc_id", "segments"), "segment long, doc long", spread)
+    rows = arrow_map(sketches, "segment long, doc long", spread)
 
+    @tidy
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows in, the rows of segments with two or more documents out; holds one row between batches."""
         last, last_open = None, False  # the previous batch's last row; whether it still waits for a partner
@@ -209,6 +219,7 @@ def _join_leaves(members: DataFrame, sets: DataFrame, limits: Threshold) -> Data
     tiles = tiles.select(F.xxhash64("region", "i", "j").alias("tile"), (F.col("chunk") == F.col("i")).alias("left"),
                          (F.col("i") == F.col("j")).alias("alone"), "doc", "set")
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, alone, doc, sets_ in _groups(batches):
             a, b = _tile_links(left, bool(alone[0]), doc, [np.frombuffer(s, np.uint64) for s in sets_], limits)
@@ -293,9 +304,8 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk_s
     copies = rows.where("doc_id <> group_rep").select(F.col("doc_id").alias("a"), F.col("group_rep").alias("b"))
     reps = rows.where("n_shingles > 0").select(F.col("group_rep").alias("doc")).distinct()
 
-    # Copies publish what their representative publishes, so only representatives go on.
-    near = written(_neighbourhoods(sketches), "neighbourhoods")
-    near = written(near.join(shuffled(reps), "doc", "left_semi"), "rep-neighbourhoods")
+    # Copies would publish what their representative publishes, so only representatives do.
+    near = written(_neighbourhoods(_publishers(sketches, rows, reps)), "neighbourhoods")
     degree = near.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
     best = near.join(shuffled(degree), "doc").groupBy("segment").agg(
         F.max(F.struct("degree", (-F.col("doc")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("members"))

@@ -19,14 +19,16 @@ are not read.  An empty table gives no rows; without labels all scores are 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, text_bytes
+from riskloom.llm.common import arrow_map, give_back, text_bytes
 from riskloom.llm.labelled import fold, sample
 
 MAX_ROWS = 20_000
@@ -207,10 +209,13 @@ def with_score(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-        x = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(sent.value.score(x))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                x = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+                yield pd.Series(sent.value.score(x))
+        finally:
+            give_back()
 
     return docs.withColumn(name, score(text_bytes()))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, text_bytes, text_or_empty, written
+from riskloom.llm.common import arrow_map, text_bytes, text_or_empty, tidy, written
 from riskloom.llm.ordering import numbered
 
 BUCKETS = 10_000
@@ -58,6 +58,7 @@ def features(text: bytes, longest: int = LONGEST, buckets: int = BUCKETS) -> tup
 
 def bucket_counts(texts: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all texts fall into each bucket."""
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(buckets, np.int64), [], 0
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ints, record_batch, written
+from riskloom.llm.common import ints, record_batch, tidy, written
 
 DROP, EDGE, MARK = 0, 1, 2
 
@@ -37,6 +37,7 @@ def _stream(rows: DataFrame, more: list[str], decide) -> DataFrame:
     schema = "state int, " + ", ".join(f"{n} long" for n in names)
     target = pa.schema([("state", pa.int32()), *((n, pa.int64()) for n in names)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ([ints(b.column(i)) for i in range(len(names))] for b in batches if b.num_rows)
         for state, out in decide(columns):
