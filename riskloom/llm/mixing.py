@@ -22,8 +22,8 @@ longer blocks.  Per-source totals (one row a source) pass the driver; nothing of
 Everything is a function of the data and ``seed``: reruns agree, whatever the partitioning.
 
 Rows: null or blank texts have size 0 and take 0.  A null source is a source of its own.  Documents are
-ordered by (bucket of doc_id, doc_id, size); repeated rows are separate documents with places of
-their own.  Extra columns pass through ``mixed_documents``.  An empty table gives no rows.
+ordered by (bucket, doc_id or a number made of the text, hash of the text), so rows without doc_id spread
+and keep their order; repeated rows are separate documents with places of their own.  Extra columns pass through ``mixed_documents``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,9 +104,10 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _placed(docs: DataFrame, extra: list, block_words: int, max_repeats: int, weights):
+def _placed(docs: DataFrame, block_words: int, max_repeats: int, weights):
     """(rows with source_no, size, source_size, target, start; blocks; slots; block length)."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *extra,
+    keys = [doc_key().alias("__doc"), F.xxhash64(text_or_empty()).alias("__body")]
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keys,
                                 F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -122,10 +123,10 @@ def _placed(docs: DataFrame, extra: list, block_words: int, max_repeats: int, we
         numbers = F.broadcast(numbers)
     rows = sized.join(numbers, sized["source"].cast("string").eqNullSafe(numbers["name"])).drop("name", "source")
     buckets = max(1, math.isqrt(sum(r.n for r in totals)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("__doc", "__body"), F.lit(buckets)))
     firsts = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("held")).withColumn(
         "first", F.sum("held").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("held")).drop("held")
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("source_no", "bucket").orderBy("__doc", "__body").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     rows = (rows.withColumn("until", F.sum("size").over(inside)).join(firsts, ["source_no", "bucket"])
             .withColumn("start", F.col("first") + F.col("until") - F.col("size")).drop("bucket", "until", "first"))
@@ -166,8 +167,8 @@ def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_repeats: int = 3,
         weights=WEIGHTS, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, start for every row; ``start`` is its place in its source."""
-    rows, blocks, slots, length = _placed(docs, [], block_words, max_repeats, weights)
-    rows = written(rows, "placed")
+    rows, blocks, slots, length = _placed(docs, block_words, max_repeats, weights)
+    rows = written(rows.drop("__doc", "__body"), "placed")
     drawn = _draws(docs.sparkSession, blocks, slots, shard_slots, seed)
     kept = ["doc_id", "size", "source_size", "target"]
     some = _pieces(rows, length).join(shuffled(drawn), ["source_no", "block"], "left").groupBy(*kept, "source_no", "start").agg(
@@ -194,8 +195,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     Copy r keeps the words, with the white space after them, of the blocks drawn at least r times; copies without words are left out.
     ``n_chars`` follows the text if the table has it.
     """
-    keys = [doc_key().alias("__doc"), F.xxhash64(text_or_empty()).alias("__body")]
-    rows, blocks, slots, length = _placed(docs, keys, block_words, max_repeats, weights)
+    rows, blocks, slots, length = _placed(docs, block_words, max_repeats, weights)
     drawn = _draws(docs.sparkSession, blocks, slots, shard_slots, seed)
     # The parts of one row are bounded by the row; repeated rows keep lists of their own.
     parts = _pieces(rows, length).join(shuffled(drawn), ["source_no", "block"], "left").groupBy("__doc", "__body", "source_no", "start").agg(
