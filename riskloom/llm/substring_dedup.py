@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 30) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """``docs`` with its repeated passages cut out of ``text``; all rows and columns stay."""
-    spans = repeated_passages(docs, min_words).groupBy("doc").agg(
+    spans = repeated_passages(docs, min_words).groupBy(F.col("doc").alias("__doc")).agg(
         F.sort_array(F.collect_list(F.array("start", "end"))).alias("__spans"))
 
     @F.pandas_udf("string")
@@ -127,6 +127,6 @@ def remove_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
             return "".join([*out, text[at:]])
         return texts.combine(spans, one)
 
-    return (docs.withColumn("doc", doc_key()).join(spans, "doc", "left")
+    return (docs.withColumn("__doc", doc_key()).join(spans, "__doc", "left")
             .withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(
                 cut(text_or_empty(), "__spans"))).select(*docs.columns))
