@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, counted, distinct, mix64, text_bytes, word_hashes
+from riskloom.llm.common import arrow_map, counted, distinct, mix64, text_bytes, word_hashes, written
 from riskloom.llm.labelled import fold, sample
 
 BITS = 20
 MAX_ROWS = 8_000
+MAX_SLOTS = 24_000_000
 _FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 _STEMS = (5, 7)
 
@@ -111,18 +112,28 @@ class Ftrl:
         return at.astype(np.int32), w[at]
 
 
+def _turn(doc_id: int) -> tuple[int, int]:
+    """The place of a document in the order of the fit: a hash of its id."""
+    return int(mix64(np.array([doc_id]).view(np.uint64))[0]), doc_id
+
+
 def fit(rows: list[tuple[int, np.ndarray, int]], passes: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Sparse weights from (doc_id, slots, label) rows, visited in a hashed order of doc_id."""
     model = Ftrl(l1=max(1.0, 0.4 * len(rows) ** 0.5))
-    rows = sorted(rows, key=lambda r: (int(mix64(np.array([r[0]]).view(np.uint64))[0]), r[0]))
+    rows = sorted(rows, key=lambda r: _turn(r[0]))
     for _ in range(passes):
         for _, slots, label in rows:
             model.update(np.append(slots, 0), label)
     return model.sparse()
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from, label: str = "toxic", max_rows: int = MAX_ROWS):
-    """Sparse weights learnt from the labelled documents that ``learn_from`` (a Column of doc_id) admits."""
+def learn(docs: DataFrame, labels: DataFrame, learn_from, label: str = "toxic", max_rows: int = MAX_ROWS,
+          max_slots: int = MAX_SLOTS):
+    """Sparse weights learnt from the labelled documents that ``learn_from`` (a Column of doc_id) admits.
+
+    The driver gathers about ``max_rows`` documents at most and of these, in a hashed order, as many as have
+    ``max_slots`` features (4 bytes each) together.
+    """
     chosen = sample(docs, labels, learn_from, label, max_rows)
 
     def extract(batch: pa.RecordBatch) -> dict:
@@ -130,18 +141,32 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from, label: str = "toxic",
         return {"doc_id": batch.column(0), "label": batch.column(1),
                 "slots": [f.astype(np.int32).tobytes() for f in found]}
 
-    rows = arrow_map(chosen, "doc_id long, label int, slots binary", extract).collect()
-    return fit([(r.doc_id, np.frombuffer(bytes(r.slots), np.int32), r.label) for r in rows])
+    found = written(arrow_map(chosen, "doc_id long, label int, slots binary", extract), "toxic-slots")
+    # At most about max_rows sizes; they say how far the slots may be gathered.
+    sizes = found.select("doc_id", (F.octet_length("slots") / 4).cast("long").alias("n")).collect()
+    held, last = 0, None
+    for turn, n in sorted((_turn(r.doc_id), r.n) for r in sizes):
+        held += n
+        if held > max_slots:
+            break
+        last = turn
+    rows = [(r.doc_id, r.label, r.slots) for r in found.join(F.broadcast(docs.sparkSession.createDataFrame(
+        [(r.doc_id,) for r in sizes if last is not None and _turn(r.doc_id) <= last], "doc_id long").distinct()), "doc_id").collect()]
+    return fit([(i, np.frombuffer(bytes(slots), np.int32), y) for i, y, slots in rows])
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id and score (0 to 1) for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    ready = []  # once for each task
+
     def run(batch: pa.RecordBatch) -> dict:
-        dense = np.zeros(1 << BITS)
-        dense[sent.value[0]] = sent.value[1]
-        live = Live(dense)
+        if not ready:
+            dense = np.zeros(1 << BITS)
+            dense[sent.value[0]] = sent.value[1]
+            ready.extend((dense, Live(dense)))
+        dense, live = ready
         out = []
         for t in batch.column(1):
             out.append(1 / (1 + np.exp(-np.clip(dense[0] + dense[features(t.as_py(), live)].sum(), -35, 35))))

@@ -280,3 +280,31 @@ def test_least_with(wanted):
         return [sum(v <= p for v in values) for p in places]
     assert resampling.least_with(counts, values[0], values[-1], wanted) == values[wanted - 1]
     assert len(jobs) <= 6 and max(jobs) <= resampling.PROBES + 1
+
+
+# --- further cases of earlier operators
+
+def test_mix_of_rows_without_ids_does_not_depend_on_partitions(spark):
+    from riskloom.llm import mixing
+    rows = [(None if i % 2 else i, " ".join(f"w{i}x{j}" for j in range(3 + i % 40)), "s" if i % 3 else "t") for i in range(400)]
+    df = frame(spark, rows)
+    one, other = (Counter(r.text for r in mixing.mixed_documents(x).collect()) for x in (df, df.repartition(9)))
+    assert one == other and one
+
+
+def test_remove_repeats_keeps_a_column_of_its_own_name(spark):
+    from riskloom.llm import substring_dedup
+    passage = " ".join(f"same{i}" for i in range(60)) + "."
+    df = frame(spark, [(i, f"own{i} start.\n{passage}\nend {i}.", "a") for i in range(4)])
+    out = substring_dedup.remove_repeats(df).collect()
+    assert {r.doc for r in out} == {"clash"} and sum("same7" in r.text for r in out) == 1
+
+
+def test_toxicity_gathers_a_bounded_number_of_features(spark):
+    from riskloom.llm import toxicity
+    docs = frame(spark, [(i, f"{'vile' if i % 2 else 'kind'} words {i} " * 20, "a") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    whole = toxicity.learn(docs, labels, F.lit(True))
+    part = toxicity.learn(docs, labels, F.lit(True), max_slots=2000)
+    none = toxicity.learn(docs, labels, F.lit(True), max_slots=0)
+    assert len(whole[0]) and len(part[0]) and not len(none[0])
