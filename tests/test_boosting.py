@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from riskloom.ml import boosting as B
+from riskloom.ml import cluster as CL
 from riskloom.operators import quantiles as Q
 from riskloom.session import scratch_path
 
@@ -141,3 +142,24 @@ def test_exact_quantile_against_numpy(spark):
         whole = Q.exact_quantile(df, "v", q).collect()
         assert math.isclose(whole[0].quantile, np.quantile([v for _, v in rows if v is not None], q), abs_tol=1e-12)
     assert Q.exact_quantile(df.where(F.lit(False)), "v", 0.5, by="g").collect() == []
+
+
+def test_only_one_of_two_siblings_is_summed_from_rows(spark, monkeypatch):
+    asked, summed = [], B._level_sums
+    monkeypatch.setattr(B, "_level_sums", lambda *a: (asked.append([int(s.max()) + 1 for s in a[2]]), summed(*a))[1])
+    rows, p = data(400, 3, 5), B.Boosting(rounds=2, step=0.1, depth=4, least_child=0.0)
+    one, many = (B.fit(frame(spark, rows, n), "y", ["id"], p, 3) for n in (1, 7))
+    assert same(one, many)
+    assert len(asked) == 2 * 2 * 4
+    for i, nodes in enumerate(asked):
+        assert max(nodes) <= max(1, 2 ** (i % 4 - 1))
+
+
+def test_kmeans_unpacks_its_rows_once(spark, monkeypatch):
+    """A fit on a persisted frame would read it again in each iteration."""
+    df = frame(spark, data(200, 3, 5), 3)
+    levels, fit = [], CL.KMeans.fit
+    monkeypatch.setattr(CL.KMeans, "fit", lambda self, vectors: (levels.append(vectors.storageLevel), fit(self, vectors))[1])
+    swept = CL.sweep(df, (2, 3), (1,), 5)
+    assert [k for k, _, _ in swept.table] == [2, 3] and swept.best_k in swept.models
+    assert len(levels) == 2 and not any(v.useMemory or v.useDisk for v in levels)
