@@ -105,6 +105,13 @@ def m03(spark, d):
 
 # ----------------------------------------------------------------- split and weights
 
+def _kept(df, name):
+    """``df`` as a written table in the shared checkpoint folder."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SPLIT_CTE = (f"split AS (SELECT {_IDS_SQL}, row_number() OVER (PARTITION BY success ORDER BY {_MD5}, {_IDS_SQL}) "
               f"<= ceil(0.2 * count(*) OVER (PARTITION BY success)) AS is_test FROM incidents_li)")
 
@@ -124,7 +131,8 @@ def m11(spark, d):
     cal=False, ctes=(_SPLIT_CTE,)), "M12", "A17")
 def m12(spark, d):
     data = stratified_split(T.incidents_li(spark, d).select(*IDS), "success", IDS)
-    train, ratio = positive_weight(data.where(~F.col("is_test")), "success")
+    # The split is made once: the ratio and the sums below read its labels.
+    train, ratio = positive_weight(_kept(data.where(~F.col("is_test")).select("success"), "train-labels"), "success")
     return train.agg(F.sum((F.col("success") == 0).cast("int")).cast("bigint").alias("n_neg"),
                      F.sum((F.col("success") == 1).cast("int")).cast("bigint").alias("n_pos"),
                      F.round(F.lit(ratio), 9).alias("scale_pos_weight"),
@@ -155,7 +163,8 @@ def m20(spark, d):
     FROM tsplit WHERE NOT is_test GROUP BY class_code""", cal=False, ctes=_THREAT_CTES), "M13", "M11", "M20")
 def m13(spark, d):
     sub, _ = CF.threat_subset(T.incidents_li(spark, d).select(*IDS))
-    data = stratified_split(sub, "class_code", IDS)
+    # Split and weights read the rows several times: those of the commonest threats are picked once.
+    data = stratified_split(_kept(sub, "threat-rows"), "class_code", IDS)
     train = balanced_weight(data.where(~F.col("is_test")), "class_code")
     return train.groupBy("class_code").agg(F.count(F.lit(1)).alias("n_c"), F.round(F.first("weight"), 9).alias("weight"))
 

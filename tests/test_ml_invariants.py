@@ -15,6 +15,7 @@ from riskloom.ml import explain as XP
 from riskloom.ml import score as SC
 from riskloom.ml.split import balanced_weight, stratified_split
 from riskloom.plans import analysis as AN
+from riskloom.plans import catalog, queries_ml
 from riskloom.session import scratch_path
 from riskloom.sources import tables as T
 
@@ -176,3 +177,13 @@ def test_tree_shap_equals_brute_force_shapley(spark):
         assert np.allclose(got["contrib"][n], want, atol=1e-9)
         assert abs(got["bias"][n] - v(x, set())) < 1e-9                       # E[f]
         assert abs(np.sum(got["contrib"][n]) + got["bias"][n] - got["margin"][n]) < 1e-9
+
+
+@pytest.mark.parametrize("name, step, table", [("m12_positive_class_weight", "positive_weight", "train-labels"),
+                                               ("m13_balanced_weights", "stratified_split", "threat-rows")])
+def test_weights_read_kept_rows(spark, monkeypatch, name, step, table):
+    """The joined incidents are not made again for each step."""
+    read, plain = [], getattr(queries_ml, step)
+    monkeypatch.setattr(queries_ml, step, lambda df, *a, **k: (read.extend(df.inputFiles()), plain(df, *a, **k))[1])
+    assert catalog.REGISTRY[name].build(spark, SF_SMALL).count() > 0
+    assert read and all(f"/{table}-" in path for path in read)
