@@ -30,15 +30,43 @@ def sheet_order() -> list[Column]:
 
 
 _WIDTHS = (64, 1024, 16384)     # cells of a record that are looked at, one after the other; a sheet has 16,384 at most
+_PART_RECORDS = 200_000         # records of a written part: a part is read by one task
 _TAIL = 16                      # a header whose last cells at a width are all empty ends before it
 
 
-def _records(spark: SparkSession, path: str, multi_line: bool, width: int) -> DataFrame:
-    """(_file, _row, cells) of every record of every file; cells that a record does not have are null."""
+def _records(spark: SparkSession, path: str, multi_line: bool, width: int, raw: bool = False) -> DataFrame:
+    """(_file, _row, cells) of every record of every file; cells that a record does not have are null.
+
+    ``raw`` adds the text of a record that has not just ``width`` cells as ``_raw``, null for the others.
+    """
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.schema(schema).option("header", "false").option("multiLine", str(multi_line).lower()).csv(path)
-    return raw.select(F.col("_metadata.file_path").alias("_file"), F.struct(*sheet_order()).alias("_row"),
-                      F.array(*schema.fieldNames()).alias("cells"))
+    cells = F.array(*schema.fieldNames()).alias("cells")
+    read = spark.read.option("header", "false").option("multiLine", str(multi_line).lower())
+    if raw:
+        schema, read = schema.add("_raw", T.StringType()), read.option("columnNameOfCorruptRecord", "_raw")
+    return read.schema(schema).csv(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.struct(*sheet_order()).alias("_row"), cells, *(["_raw"] if raw else []))
+
+
+def _headers(spark: SparkSession, path: str, multi_line: bool, key: str, width: int) -> DataFrame:
+    """(_file, x) of every file: ``x`` is the place and the cells of its first record that holds ``key``, null if none does.
+
+    Parsing ``width`` cells of every record costs more than all else where few are filled, so records are read as
+    text and only those whose text holds the key are parsed; and a minimum of structs sorts its rows, so it only gets
+    those, too.
+    """
+    def underlined(c: Column) -> Column:
+        return F.replace(c, F.lit(" "), F.lit("_"))
+
+    records = _records(spark, path, multi_line, 1, raw=True)
+    likely = records.where(underlined(F.coalesce("_raw", F.col("cells")[0])).contains(key))
+    names = [f"_c{i}" for i in range(width)]
+    # The lambda keeps a record from being parsed once for each of its cells.
+    parsed = F.expr(f"transform(array(from_csv(_raw, '{' string, '.join(names)} string')), p -> array(p.{', p.'.join(names)}))[0]")
+    named = likely.select("_file", "_row", F.transform(F.when(F.col("_raw").isNull(), F.col("cells")).otherwise(parsed),
+                                                       lambda c: underlined(F.trim(c))).alias("h"))
+    found = named.where(F.array_contains("h", key)).groupBy("_file").agg(F.min(F.struct("_row", "h")).alias("x"))
+    return records.select("_file").distinct().join(F.broadcast(found), "_file", "left")     # one row a file
 
 
 def _laid_out(spark: SparkSession, path: str, multi_line: bool, headers: dict[str, str], optional: set[str]) -> DataFrame:
@@ -51,9 +79,7 @@ def _laid_out(spark: SparkSession, path: str, multi_line: bool, headers: dict[st
     wanted = {normalise_header(h): name for h, name in headers.items()}
     key = next(iter(wanted))
     for width in _WIDTHS:
-        records = _records(spark, path, multi_line, width)
-        named = F.transform("cells", lambda c: F.replace(F.trim(c), F.lit(" "), F.lit("_")))
-        found = records.groupBy("_file").agg(F.min(F.when(F.array_contains(named, key), F.struct("_row", named.alias("h")))).alias("x"))
+        found = _headers(spark, path, multi_line, key, width)
         layouts, missing, goes_on, place = [], [], False, None
         for file, x in sorted((r["_file"], r["x"]) for r in found.collect()):
             if x is not None:
@@ -70,6 +96,8 @@ def _laid_out(spark: SparkSession, path: str, multi_line: bool, headers: dict[st
             break
     if missing:
         raise ValueError("; ".join(missing))
+    # No cell after the last wanted one is read again.
+    records = _records(spark, path, multi_line, 1 + max((i for _, _, at in layouts for i in at if i is not None), default=0))
     row_type = records.schema["_row"].dataType
     at = spark.createDataFrame(layouts, T.StructType([
         T.StructField("_sheet", T.StringType()), T.StructField("_header", row_type), T.StructField("_at", T.ArrayType(T.IntegerType()))]))
@@ -183,7 +211,8 @@ def write_threat_sheet(catalog: DataFrame, path: str, banner: str = "Переч
         fmt_day_first("last_modified", with_time=False).alias("last_modified"),
         "status", F.coalesce("notes", F.lit("")).alias("notes"))
     # The header is in the first part only: the readers carry it on to the parts after it.
-    lead.coalesce(1).unionByName(body).write.mode("overwrite").options(**_KEEP_SPACES).option("header", "false").csv(path)
+    lead.coalesce(1).unionByName(body).write.mode("overwrite").options(**_KEEP_SPACES) \
+        .option("maxRecordsPerFile", _PART_RECORDS).option("header", "false").csv(path)
 
 
 def write_incident_sheet(incidents: DataFrame, path: str, first: list[str] = ()) -> None:
@@ -201,4 +230,4 @@ def write_incident_sheet(incidents: DataFrame, path: str, first: list[str] = ())
     inv = {v: k for k, v in K.INCIDENT_SHEET_HEADERS.items()}
     cells = {inv[n]: c.alias(inv[n]) for n, c in cols.items()}
     incidents.select(*[cells[h] for h in [*first, *(h for h in cells if h not in first)]]) \
-        .write.mode("overwrite").options(**_KEEP_SPACES).option("header", "true").csv(path)
+        .write.mode("overwrite").options(**_KEEP_SPACES).option("maxRecordsPerFile", _PART_RECORDS).option("header", "true").csv(path)

@@ -144,3 +144,28 @@ def test_headers_beyond_the_first_cells_are_found(spark, tmp_path):
     order = [f"col{i}" for i in range(90)] + HEADERS
     path = threats_sheet(tmp_path, [threat("7", "a", **{HEADERS[-1]: "n"})], order, "wide.csv")
     assert [(r.threat_id, r.name, r.notes) for r in SH.read_threat_sheet(spark, path).collect()] == [(7, "a", "n")]
+
+
+def test_only_likely_headers_are_sorted_or_parsed_whole(spark, tmp_path):
+    """A row that only mentions the key is no header, a key in a quoted cell is one, and the plan parses and sorts no other rows."""
+    key = HEADERS[0]
+    rows = [threat("7", "a", **{HEADERS[2]: f'"see {key}, there"'}), threat("8", key.replace(" ", "_") + "?")]
+    path = sheet(tmp_path, "mentions.csv", [[f'"{key},x"'], ["banner"], [f'" {key} "', *HEADERS[1:]], *[list(r.values()) for r in rows]])
+    assert {(r.threat_id, r.description) for r in SH.read_threat_sheet(spark, path).collect()} == {(7, f"see {key}, there"), (8, None)}
+    found = SH._headers(spark, path, True, SH.normalise_header(key), 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [r["x"]["h"][1] for r in found.collect()] == [SH.normalise_header(HEADERS[1])]
+    scans = plan.split("FileScan csv")[1:]
+    assert scans and all("_c1:" not in scan.split("ReadSchema")[1].split(">")[0] for scan in scans)
+
+
+def test_a_written_sheet_is_cut_into_parts_that_keep_the_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SH, "_PART_RECORDS", 3)
+    path = str(tmp_path / "parts")
+    source = spark.range(10).coalesce(1).selectExpr(
+        "'T' AS enterprise_type", "'1' AS enterprise_code", "int(id) AS host_count", "1 AS threat_code", "1 AS success",
+        "'R' AS region", "date'2024-08-12' AS incident_date", "timestamp_ntz'2024-08-12 11:00:00' AS incident_time")
+    SH.write_incident_sheet(source, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 4
+    read = SH.read_incident_sheet(spark, path, sequence="seq")
+    assert [r.host_count for r in read.orderBy("seq").collect()] == list(range(10))
