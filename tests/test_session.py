@@ -34,3 +34,25 @@ def test_scratch_tables_are_released(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     assert session.release_scratch(spark)
     assert not os.path.exists(path)
+
+
+def test_calls_run_side_by_side_and_keep_their_order():
+    import threading
+
+    from riskloom.session import at_once
+    met = threading.Barrier(3, timeout=30)                     # passes only when all three are running
+
+    def call(i):
+        met.wait()
+        return i
+
+    assert at_once([lambda i=i: call(i) for i in range(3)]) == [0, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        at_once([lambda: 1 // 0, lambda: 1])
+
+
+def test_the_two_threat_fits_run_side_by_side():
+    import inspect
+
+    from riskloom.ml import classify
+    assert "at_once(" in inspect.getsource(classify.train_threat)
