@@ -163,3 +163,19 @@ def test_kmeans_unpacks_its_rows_once(spark, monkeypatch):
     swept = CL.sweep(df, (2, 3), (1,), 5)
     assert [k for k, _, _ in swept.table] == [2, 3] and swept.best_k in swept.models
     assert len(levels) == 2 and not any(v.useMemory or v.useDisk for v in levels)
+
+
+def test_sums_of_few_partitions_need_no_shuffle(spark, monkeypatch):
+    rows, p = data(300, 3), B.Boosting(rounds=3, step=0.3, depth=3)
+    monkeypatch.setattr(B, "PARTITION_ROWS", 60)
+    margins, shuffles = [], []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(B, "GATHERED_SUMS", most)
+        own = type(spark.range(1))
+        old, made = own.repartition, []
+        monkeypatch.setattr(own, "repartition", lambda self, *a: made.append(a) or old(self, *a))
+        model = B.fit(frame(spark, rows, 4), "y", ["id"], p, 3)
+        monkeypatch.setattr(own, "repartition", old)
+        shuffles.append(sum("bin" in a for a in made))
+        margins.append(B.margins(np.array([x for *_, x in rows], float), model.rounds, 3))
+    assert shuffles[0] == 0 < shuffles[1] and np.array_equal(*margins)

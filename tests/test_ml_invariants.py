@@ -187,3 +187,29 @@ def test_weights_read_kept_rows(spark, monkeypatch, name, step, table):
     monkeypatch.setattr(queries_ml, step, lambda df, *a, **k: (read.extend(df.inputFiles()), plain(df, *a, **k))[1])
     assert catalog.REGISTRY[name].build(spark, SF_SMALL).count() > 0
     assert read and all(f"/{table}-" in path for path in read)
+
+
+def test_a_part_of_the_analysis_is_made_alone_and_once(spark, monkeypatch):
+    made, rows = [], spark.range(3)
+    monkeypatch.setattr(AN, "feature_frame", lambda *a: rows)
+    monkeypatch.setattr(AN, "checkpoint_spread", lambda df: df)
+    monkeypatch.setattr(AN.CL, "encode_for_clustering", lambda df: (df, {}))
+    monkeypatch.setattr(AN.CF, "model_frame", lambda df: (df, ["a"], {}))
+    monkeypatch.setattr(AN.CF, "train_success", lambda df, cols, ids, p: made.append(("success", cols)) or "s")
+    monkeypatch.setattr(AN.CF, "train_threat", lambda df, cols, ids, k, b, i: made.append(("threat", cols)) or "t")
+    a = AN.Analysis(None, None, AN.CHECK)
+    assert a.feature_cols == ["a"] and made == []
+    assert a.with_parts("success").success == "s" and made == [("success", ["a"])]
+    assert a.with_parts("success", "threat").threat == "t" and sorted(made) == [("success", ["a"]), ("threat", ["a"])]
+
+
+def test_sweep_side_by_side_equals_one_at_a_time(spark, monkeypatch):
+    from riskloom.ml import cluster as CL
+    vec = spark.range(400).select(F.rand(3).alias("x"), F.rand(5).alias("y"))
+    vec = CF.assemble(vec, ["x", "y"]).repartition(2, "x").cache()
+    got = []
+    for n in (3, 1):
+        monkeypatch.setattr(CL, "SWEEP_FITS", n)
+        got.append(CL.sweep(vec, (2, 3, 4), (42,), 5))
+    assert [r[0] for r in got[0].table] == [2, 3, 4]
+    assert np.allclose(got[0].table, got[1].table) and set(got[0].models) == {2, 3, 4}
