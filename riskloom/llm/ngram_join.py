@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import (arrow_map, ints, likely_in, mix64, shingle_set, shuffled, text_bytes, tidy, with_likely,
-                                 written)
+from riskloom.llm.common import (arrow_map, discard, ints, likely_in, mix64, shingle_set, shuffled, text_bytes, tidy,
+                                 with_likely, written)
 from riskloom.llm.components import components
 
 CHUNK_SHINGLES = 1 << 19
@@ -166,8 +166,14 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(region, pivot, doc, n, inter, union) for rows (region, pivot, doc)."""
-    both = pairs.join(shuffled(sets), "doc").join(
+    """(region, pivot, doc, n, inter, union) for rows (region, pivot, doc).
+
+    A pivot's row with itself is known without its set, so no set travels for it.  Of several texts of a pivot
+    each meets the other documents, so its rows with itself need only say that it is there.
+    """
+    own = pairs.where("doc = pivot").join(shuffled(sets.select("doc", "n")), "doc").select(
+        "region", "pivot", "doc", "n", F.col("n").alias("inter"), F.col("n").alias("union"))
+    both = pairs.where("doc <> pivot").join(shuffled(sets), "doc").join(
         shuffled(sets.select(F.col("doc").alias("pivot"), F.col("set").alias("pivot_set"))), "pivot")
 
     def measure(batch: pa.RecordBatch) -> dict:
@@ -181,7 +187,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 "inter": np.array(inter, np.int64), "union": np.array(union, np.int64)}
 
     return arrow_map(both.select("region", "pivot", "doc", "n", "set", "pivot_set"),
-                     "region long, pivot long, doc long, n long, inter long, union long", measure)
+                     "region long, pivot long, doc long, n long, inter long, union long", measure).unionByName(own)
 
 
 def _leftover(measured: DataFrame, limits: Threshold) -> DataFrame:
@@ -199,7 +205,7 @@ def _split(heavy: DataFrame, sets: DataFrame, limits: Threshold) -> tuple[DataFr
     picks = heavy.groupBy("region").agg(F.array_distinct(F.array(*[
         F.min(F.struct(F.xxhash64("doc", F.lit(i)), F.col("doc"))).getField("doc") for i in range(PIVOTS)])).alias("pivots"))
     pairs = heavy.select("region", "doc").join(picks, "region").select("region", F.explode("pivots").alias("pivot"), "doc")
-    measured = written(_distances(pairs, sets), "pivot-distances")
+    measured = written(_distances(written(pairs, "region-pivots"), sets), "pivot-distances")
     links = measured.where(limits.linked(F.col("inter"), F.col("union")) & (F.col("pivot") != F.col("doc")))
     d = measured.withColumn("d", 1 - F.col("inter") / F.col("union"))
     home = d.groupBy("region", "doc").agg(F.min("d").alias("home"))
@@ -306,6 +312,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk_s
 
     # Copies would publish what their representative publishes, so only representatives do.
     near = written(_neighbourhoods(_publishers(sketches, rows, reps)), "neighbourhoods")
+    discard(sketches)
     degree = near.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
     best = near.join(shuffled(degree), "doc").groupBy("segment").agg(
         F.max(F.struct("degree", (-F.col("doc")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("members"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import (bpe, components, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, quality, runs,
                           secret_scan, substring_dedup, toxicity)
 from riskloom.llm.queries import QUERIES
+from riskloom.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -176,6 +178,23 @@ def test_ngram_join_on_dense_groups(spark, chunk):
     assert got == want
 
 
+def test_ngram_join_keeps_no_sketches(spark, docs):
+    scratch = pathlib.Path(scratch_path(spark, "llm"))
+    before = set(scratch.glob("*")) if scratch.exists() else set()
+    ngram_join.ngram_components(docs).collect()
+    left = {p.name.split("-")[0] for p in set(scratch.glob("*")) - before}
+    assert "sets" in left and "sketches" not in left
+
+
+def test_no_set_travels_for_a_pivot_itself(spark):
+    sets = spark.createDataFrame([(i, 3, np.array([1, 2, i], np.uint64).tobytes()) for i in (5, 6, 7)], "doc long, n long, set binary")
+    pairs = spark.createDataFrame([(5, 5, 5), (5, 5, 6), (7, 7, 7)], "region long, pivot long, doc long")
+    out = ngram_join._distances(pairs, sets)
+    assert {tuple(r) for r in out.collect()} == {(5, 5, 5, 3, 3, 3), (5, 5, 6, 3, 2, 4), (7, 7, 7, 3, 3, 3)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (doc" in plan and plan.count("Union") == 1
+
+
 def test_linked_sets_always_share_a_published_segment():
     limits, rng = ngram_join.Threshold(85), np.random.default_rng(3)
     for n in [*range(1, 60), 100, 333, 1000]:
