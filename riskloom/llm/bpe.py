@@ -43,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from riskloom.llm.common import give_back, record_batch, text_or_empty, tidy
 
 MEMO_PIECES = 100_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 _WORD = 64
 
 # Fixed value: the splitting pattern of the public byte-level vocabularies.

@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, doc_key, mix64, shuffled, text_bytes, text_or_empty, written
+from riskloom.llm.common import arrow_map, doc_key, give_back, mix64, shuffled, text_bytes, text_or_empty, written
 from riskloom.llm.runs import frequent_occurrences, later_occurrences
 
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -165,8 +167,12 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     ``n_chars`` follows the new text if the table has it; rows that lose nothing are unchanged.
     """
     @F.pandas_udf("string")
-    def cut(text, bitmap):
-        return text.combine(bitmap, lambda t, b: None if b is None else kept_text(t.encode(), b)[2].decode())
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            for text, bitmap in batches:
+                yield text.combine(bitmap, lambda t, b: None if b is None else kept_text(t.encode(), b)[2].decode())
+        finally:
+            give_back()
 
     loses = F.col("__bitmap").isNotNull()
     rows = with_bitmaps(docs, keep_bitmaps(docs, **options))

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, doc_key, mix64, shuffled, text_or_empty, written
+from riskloom.llm.common import WORD, doc_key, give_back, mix64, shuffled, text_or_empty, tidy, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -138,6 +138,7 @@ def _draws(spark, blocks: np.ndarray, slots: np.ndarray, shard_slots: int, seed:
     estimated from the range of shards it is made of; join it as ``shuffled``."""
     shards = max(1, -(-int(slots.sum()) // shard_slots))
 
+    @tidy
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard in frame["id"]:
@@ -203,9 +204,13 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     parts = parts.where(F.exists("__parts", lambda p: p["times"] > 0)).select("__doc", "__body", "__parts")
 
     @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([copies(t, [(p["lo"], p["hi"], p["times"]) for p in ps], max_repeats)
-                          for t, ps in zip(texts, lists, strict=True)], dtype=object)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            for texts, lists in batches:
+                yield pd.Series([copies(t, [(p["lo"], p["hi"], p["times"]) for p in ps], max_repeats)
+                                 for t, ps in zip(texts, lists, strict=True)], dtype=object)
+        finally:
+            give_back()
 
     own = docs.withColumns({"__doc": doc_key(), "__body": F.xxhash64(text_or_empty())}).dropDuplicates(["__doc", "__body"])
     out = own.join(parts, ["__doc", "__body"]).withColumn("text", F.explode(cut("text", "__parts")))

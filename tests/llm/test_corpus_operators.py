@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import pathlib
 import random
 from collections import Counter, defaultdict
@@ -338,6 +339,15 @@ def test_mixed_documents_hold_the_words_that_the_mix_takes(spark, docs, rows):
     assert +held == +taken
 
 
+@pytest.mark.parametrize("name", ["mixing", "line_dedup"])
+def test_texts_cut_in_tasks_are_given_back(spark, tmp_path, monkeypatch, name):
+    seen, module = str(tmp_path / "seen"), {"mixing": mixing, "line_dedup": line_dedup}[name]
+    monkeypatch.setattr(module, "give_back", lambda: open(seen, "a").close())
+    rows = frame(spark, [(i, f"the same line\nown line {i}", "a") for i in range(12)])
+    out = mixing.mixed_documents(rows) if name == "mixing" else line_dedup.drop_lines(rows)
+    assert out.select("text").collect() and os.path.exists(seen)
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 64, 1000, 4097):
         assert sorted(mixing.permute(np.arange(n), n, 77)) == list(range(n))
