@@ -7,11 +7,11 @@ Batch twin without a per-key task.  A key may hold a third of all rows, so the
 events of one key are never processed in one group.  Events at one instant are
 first reduced to the smallest id.  Then:
 
-1. per (key, bucket) group, a bucket being a day, an hour or one latch window, whichever
-   keeps the group small — the alert chain inside a bucket depends only on the time of its
-   first alert, which is one of the events of the bucket's first five minutes (or none).  For
-   every such candidate the chain is followed with next-event pointers (``searchsorted``) and the
-   candidate's last alert recorded; runs of candidates with the same last alert are merged into
+1. per (key, bucket) group, a bucket being 4096, 1024, 256, 64, 16, 4 or one day, an hour or one latch
+   window, the widest that keeps the group small (so that sparse keys make few groups) — the alert chain inside a bucket depends only on the time of its
+   first alert, which is one of the events of the bucket's first five minutes (or none).  Next-event
+   pointers (``searchsorted``) are doubled until they stand still, which gives every such
+   candidate's last alert; runs of candidates with the same last alert are merged into
    one row.  The result is a map from the earliest time an alert may be raised to the last alert;
 2. these maps compose: the maps of neighbouring buckets are combined into maps of an hour, a day, 16
    days and so on, a task holding the few children of one span; on the way back down each span hands
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -88,18 +88,14 @@ def recent_rows(df: DataFrame, as_of: Column, seconds: int = K.RECENT_SECONDS) -
 
 # ------------------------------------------------------------------ T02 batch
 
-def _chains(T: np.ndarray, nxt: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Last alert index of the chain from each start (vectorised pointer walk)."""
-    m = len(T)
-    last = starts.copy()
-    cur = starts.copy()
+def _chains(nxt: np.ndarray) -> np.ndarray:
+    """Last alert index of the chain from each event; pointers beyond the end stand for none."""
+    last = np.where(nxt < len(nxt), nxt, np.arange(len(nxt)))
     while True:
-        nx = nxt[np.minimum(cur, m - 1)]
-        move = (cur < m) & (nx < m)
-        if not move.any():
+        further = last[last]                  # twice as many alerts on
+        if np.array_equal(further, last):
             return last
-        last = np.where(move, nx, last)
-        cur = np.where(move, nx, m)
+        last = further
 
 
 def _phase1(latch_us: int):
@@ -110,7 +106,7 @@ def _phase1(latch_us: int):
         nxt = np.searchsorted(T, T + latch_us, "left")
         c = int(np.searchsorted(T, b + latch_us, "left"))
         cand = np.arange(min(c, m - 1) + 1)
-        last = T[_chains(T, nxt, cand)]
+        last = T[_chains(nxt)[cand]]
         his = T[cand]
         keep = np.r_[last[1:] != last[:-1], True]
         hi, lo = list(his[keep]), list(last[keep])
@@ -172,6 +168,7 @@ def _enter(latch_us: int):
 _MAP = "key string, bucket bigint, hi bigint, last bigint"
 _ENTRY = "key string, bucket bigint, th bigint"
 _SPANS = tuple(h * 3_600 * MICROS for h in (1, 24, 24 * 16, 24 * 256, 24 * 4096, 24 * 65536))
+_WIDE = (4, 16, 64, 256, 1024, 4096)      # days of the wide buckets, each of them whole in the spans and in the next
 
 
 def _entries(maps: DataFrame, latch_us: int, leaf: int) -> DataFrame:
@@ -207,32 +204,48 @@ def _phase3(latch_us: int):
     return fn
 
 
+def _widths(days: DataFrame, latch_us: int, max_group_rows: int, wide_group_rows: int) -> DataFrame:
+    """(key, day, _w) for (key, day, _n events): the width of the bucket that each day of a key is in.
+
+    The days of a bucket share its count and those of all wider ones around it, so they get the same width.
+    One shuffle, by (key, widest bucket), serves all the sums.
+    """
+    day, n, names = 86_400 * MICROS, F.col("_n"), [f"_d{w}" for w in reversed(_WIDE)]
+    for w, name in zip(reversed(_WIDE), names, strict=True):
+        days = days.withColumn(name, F.floor(F.col("day") / F.lit(w)).cast("bigint"))
+    days = days.repartition("key", names[0])
+    width = F.when(n > 24 * max_group_rows, F.lit(latch_us)).when(n > max_group_rows, F.lit(3_600 * MICROS)).otherwise(F.lit(day))
+    for i, w in enumerate(_WIDE):
+        sums = F.sum("_n").over(Window.partitionBy("key", *names[:len(names) - i]))
+        days = days.withColumn(f"_n{w}", sums)
+        width = F.when(F.col(f"_n{w}") <= min(wide_group_rows, max_group_rows), F.lit(w * day)).otherwise(width)
+    return days.select("key", "day", width.alias("_w"))
+
+
 def latch_alerts(df: DataFrame, key: str = "region", latch_seconds: int = K.ALERT_LATCH_SECONDS,
-                 max_group_rows: int = 2_000_000) -> DataFrame:
+                 max_group_rows: int = 2_000_000, wide_group_rows: int = 20_000) -> DataFrame:
     """Alerts (key, alert_time, incident_id, enterprise_type, alert_text) by the latch rule.
 
-    Buckets are one day wide; where a (key, day) has more than ``max_group_rows`` instants with events they are
-    one hour wide, and where it has more than 24 times as many, one latch window.  All widths are
-    multiples of the window, which the chain argument needs.
+    Buckets are one day wide; where a (key, day) has more than ``max_group_rows`` events they are
+    one hour wide, and where it has more than 24 times as many, one latch window.  Days in a row are one bucket of up to
+    4096 days while it has at most ``wide_group_rows`` events: a group costs some milliseconds, however few its rows.
+    All widths are multiples of the window, which the chain argument needs.
     """
     L = latch_seconds * MICROS
     day, hour = 86_400 * MICROS, 3_600 * MICROS
     if hour % L:
         raise ValueError("the latch window must divide one hour")
+    timed = df.where(F.col("incident_time").isNotNull()).withColumn("key", F.col(key)).withColumn("us", to_micros("incident_time"))
+    of_day = F.floor(F.col("us") / F.lit(day)).cast("bigint").alias("day")
+    # Events, not instants, are counted: that needs no shuffle of the events, and only the widths depend on it.
+    widths = bounded_broadcast(_widths(timed.groupBy("key", of_day).agg(F.count(F.lit(1)).alias("_n")), L, max_group_rows, wide_group_rows))
     at_once = F.min(F.struct("incident_id", "enterprise_type")).alias("_first")
-    ev = (df.where(F.col("incident_time").isNotNull())
-            .groupBy(F.col(key).alias("key"), to_micros("incident_time").alias("us")).agg(at_once)
-            .select("key", "us", "_first.incident_id", "_first.enterprise_type")
-            .withColumn("day", F.floor(F.col("us") / F.lit(day)).cast("bigint")))
-    n = F.col("_n")
-    widths = ev.groupBy("key", "day").agg(F.count(F.lit(1)).alias("_n")).select(
-        "key", "day", F.when(n > 24 * max_group_rows, F.lit(L)).when(n > max_group_rows, F.lit(hour)).otherwise(F.lit(day)).alias("_w"))
+    ev = timed.groupBy("key", "us").agg(at_once).select("key", "us", "_first.incident_id", "_first.enterprise_type", of_day)
     # An explicit partition count: adaptive execution would coalesce this small-looking
     # shuffle into very few tasks, but the grouped phases below are compute-heavy.  Both
     # grouped phases reuse this one hash partitioning on (key, bucket).
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    widths = reliable_checkpoint(widths)
-    ev = ev.join(bounded_broadcast(widths), ["key", "day"]) \
+    ev = ev.join(widths, ["key", "day"]) \
            .withColumn("bucket", (F.floor(F.col("us") / F.col("_w")) * F.col("_w")).cast("bigint")) \
            .drop("day", "_w").repartition(parts, "key", "bucket")
     tables = reliable_checkpoint(ev.select("key", "bucket", "us").groupBy("key", "bucket").applyInPandas(_phase1(L), _MAP))

@@ -31,6 +31,27 @@ def test_tree_over_long_spans(spark, max_rows):
     assert ids(AL.latch_alerts(events(spark, rows), max_group_rows=max_rows)) == sorted(brute(rows))
 
 
+def test_sparse_days_share_a_group(spark, monkeypatch):
+    """Groups follow the number of events, not of days: 600 days of a few events each are one group a region or two."""
+    rows = [(i, f"r{i % 3}", 86400 * (i // 3 - 200) + 7 * i) for i in range(1800)] + [(9000 + i, "r0", 100 * i) for i in range(50)]
+    seen, entries = [], AL._entries
+    monkeypatch.setattr(AL, "_entries", lambda maps, *a: seen.append(maps.select("key", "bucket").distinct().count()) or entries(maps, *a))
+    assert ids(AL.latch_alerts(events(spark, rows))) == sorted(brute(rows))
+    assert seen[0] <= 6
+
+
+@pytest.mark.parametrize("wide_rows", [1, 3, 12, 60, 250])
+def test_buckets_of_many_widths_in_one_region(spark, wide_rows):
+    """Dense and sparse stretches around the epoch and later, with chains across the edges of the buckets."""
+    rng = random.Random(wide_rows)
+    epoch = -19723 * 86400                                                    # BASE is 2024-01-01
+    times = [epoch + 86400 * rng.randrange(-5000, 5000) + rng.randrange(86400) for _ in range(150)]
+    times += [epoch + 86400 * d + s for d in (-4096, -16, 0, 4, 64, 4096) for s in range(-900, 900, 130)] + [rng.randrange(40000) for _ in range(200)]
+    rows = [(i, f"r{i % 2}", s) for i, s in enumerate(times)] + [(7000, None, 0), (7001, "r0", None)]
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    assert ids(AL.latch_alerts(events(spark, rows), wide_group_rows=wide_rows)) == sorted(brute(known))
+
+
 def test_out_of_order_stream_of_one_region_equals_batch(spark):
     rng = random.Random(4)
     rows = [(i, "hot", rng.randrange(6 * 3600)) for i in range(500)]
