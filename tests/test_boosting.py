@@ -179,3 +179,43 @@ def test_sums_of_few_partitions_need_no_shuffle(spark, monkeypatch):
         shuffles.append(sum("bin" in a for a in made))
         margins.append(B.margins(np.array([x for *_, x in rows], float), model.rounds, 3))
     assert shuffles[0] == 0 < shuffles[1] and np.array_equal(*margins)
+
+
+def test_a_few_rows_need_no_job_a_level(spark, monkeypatch):
+    """The driver's own rounds over one block give the model of the distributed ones, and old tables of rows are dropped."""
+    rows, p = data(400, 3, 5), B.Boosting(rounds=B.REBASE + 2, step=0.1, depth=4, rows=0.7, features=0.7, l1=0.1)
+    kinds, dropped, summed, drop = [], [], B._level_sums, B.drop_scratch
+    monkeypatch.setattr(B, "_level_sums", lambda *a: (kinds.append(type(a[0])), summed(*a))[1])
+    monkeypatch.setattr(B, "drop_scratch", lambda spark, path: (dropped.append(path), drop(spark, path))[1])
+    few = B.fit(frame(spark, rows), "y", ["id"], p, 3)
+    assert set(kinds) == {list} and not dropped
+    monkeypatch.setattr(B, "GATHERED_ROWS", 100)
+    monkeypatch.setattr(B, "PARTITION_ROWS", 100)
+    kinds.clear()
+    many = B.fit(frame(spark, rows), "y", ["id"], p, 3)
+    assert list not in kinds and len(dropped) == 2 and same(few, many)
+
+
+def test_features_that_go_together_share_a_byte(spark, monkeypatch):
+    """One-hot columns and functions of one value are packed; a guess that some row breaks is taken back."""
+    rng = random.Random(2)
+    values = [(rng.randrange(6), rng.randrange(200), rng.randrange(200)) for _ in range(900)]
+    rows = [(i, int(a in (1, 4) or b > 150), 1.0, [float(a == j) for j in range(6)] + [float(a), math.sin(a), float(b), float(c)])
+            for i, (a, b, c) in enumerate(values)]
+    df = frame(spark, rows)
+    x = df.select(vector_to_array("features").alias("x"))
+    cuts = B.feature_cuts(x, 10, 256)
+    packing = B._Packing.of(x, cuts)
+    assert sorted(f for m in packing.members for f in m) == list(range(10)) and len(packing.members) == 3
+    monkeypatch.setattr(B, "_GUESS_ROWS", 40)                    # so few that both wide features seem to fit into one byte
+    proved = B._Packing.of(x, cuts)
+    assert all(len(k) <= 256 for k in proved.keys) and proved.column[8] != proved.column[9]
+    binned = np.stack([np.searchsorted(c, [r[3][f] for r in rows], "left").astype(np.uint8) for f, c in enumerate(cuts)])
+    for p in (packing, proved):
+        bytes_ = p.packed(binned)
+        assert all(np.array_equal(p.bins[f][bytes_[p.column[f]]], binned[f]) for f in range(10))
+    p = B.Boosting(rounds=4, step=0.3, depth=3, features=0.8)
+    models = [B.fit(df, "y", ["id"], p)]
+    monkeypatch.setattr(B._Packing, "of", classmethod(lambda cls, rows, cuts: cls.alone(np.array([len(c) + 1 for c in cuts]))))
+    models.append(B.fit(df, "y", ["id"], p))
+    assert same(*models)
