@@ -213,3 +213,70 @@ def test_sweep_side_by_side_equals_one_at_a_time(spark, monkeypatch):
         got.append(CL.sweep(vec, (2, 3, 4), (42,), 5))
     assert [r[0] for r in got[0].table] == [2, 3, 4]
     assert np.allclose(got[0].table, got[1].table) and set(got[0].models) == {2, 3, 4}
+
+
+def _points(spark, n=3000, parts=5):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (n // 3, 2)) for c in ((0, 0), (4, 1), (1, 6))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rng.permutation(x)], "x double, y double")
+    return CF.assemble(df.repartition(parts), ["x", "y"])
+
+
+def test_registered_queries_fit_the_whole_profile(spark, monkeypatch):
+    """No restart, iteration or round of the reference is left out."""
+    from riskloom.plans import queries_stream
+    asked = []
+    monkeypatch.setattr(AN, "analysis_for", lambda spark, d, profile=AN.REFERENCE: asked.append(profile) or 1 / 0)
+    for build in (lambda: queries_ml._an(spark, SF_SMALL), lambda: queries_stream.t05(spark, SF_SMALL)):
+        with pytest.raises(ZeroDivisionError):
+            build()
+    full = AN.REFERENCE
+    assert asked == [full, full] and len(full.seeds) == 10 and full.kmeans_iter == 300 and full.ks == tuple(range(2, 11))
+    assert (full.success.rounds, full.threat_baseline.rounds, full.threat_improved.rounds) == (300, 200, 300)
+
+
+def test_restarts_side_by_side_are_lloyds_iterations(spark):
+    """Each restart ends where a plain loop from its first centres ends, and the least cost is kept."""
+    from riskloom.ml import cluster as CL
+    df = _points(spark)
+    x = np.array([r.features.toArray() for r in df.select("features").collect()])
+    blocks, _ = CL.packed(df)
+    km = CL.KMeans(4, (1, 2, 3), 40)
+    costs = []
+    for c in km.first_centres(blocks):
+        assert c.shape == (4, 2)
+        for _ in range(km.max_iter):
+            far = ((x[:, None] - c[None]) ** 2).sum(2)
+            label, cost = far.argmin(1), far.min(1).sum()
+            moved = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(4)])
+            still, c = ((moved - c) ** 2).sum(1).max() > km.tol ** 2, moved
+            if not still:
+                break
+        costs.append((cost, c))
+    model = km.fit(blocks)
+    cost, centres = min(costs, key=lambda v: v[0])
+    assert math.isclose(model.summary.trainingCost, cost, rel_tol=1e-9)
+    assert np.allclose(np.array(model.clusterCenters()), centres, atol=1e-9)
+
+
+def test_silhouettes_equal_sparks(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    from riskloom.ml import cluster as CL
+    df = _points(spark).cache()
+    swept = CL.sweep(df, (2, 3, 5), (1, 2), 20)
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
+    for k, cost, s in swept.table:
+        scored = swept.models[k].transform(df)
+        assert math.isclose(s, ev.evaluate(scored), rel_tol=1e-9)
+        assert cost == swept.models[k].summary.trainingCost
+    assert swept.best_k == 3
+
+
+def test_the_projection_needs_no_clusters(spark, monkeypatch):
+    a = AN.Analysis(T.incidents_li(spark, SF_SMALL), T.threats(spark, SF_SMALL), AN.CHECK)
+    monkeypatch.setattr(AN.CL, "sweep", lambda *x: 1 / 0)
+    rows, axes = a.projection
+    assert axes.shape == (len(AN.CL.CLUSTER_FEATURES), 2) and {"pca1", "pca2"} <= set(rows.columns)
+    with pytest.raises(ZeroDivisionError):
+        a.clusters
